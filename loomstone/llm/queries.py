@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import documents
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.secret_scan import scan_secrets
+from loomstone.llm.simhash import near_duplicates
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +78,7 @@ FROM d LEFT JOIN s USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {q.__name__: q for q in (op6_line_dedup, op9_secret_scan)}
+    found = {q.__name__: q for q in (op5_simhash, op6_line_dedup, op9_secret_scan)}
     return found
 
 
