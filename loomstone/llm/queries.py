@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import documents
+from loomstone.llm.decontaminate import contamination
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.secret_scan import scan_secrets
 from loomstone.llm.simhash import near_duplicates
@@ -77,10 +78,46 @@ FROM d LEFT JOIN s USING (doc_id)
 )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(items, "utf-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP10_SQL = r"""
+WITH dw AS (
+    SELECT doc_id, w FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+), bw AS (
+    SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), win AS (
+    SELECT item_id, n, array_to_string(w[k + 1:k + n], ' ') AS win FROM (
+        SELECT item_id, w, least(10, len(w)) AS n, unnest(range(greatest(len(w) - 9, 1))) AS k FROM bw)
+), sizes AS (SELECT DISTINCT n FROM win), dwin AS (
+    SELECT doc_id, k, n, array_to_string(w[k + 1:k + n], ' ') AS win FROM (
+        SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS k FROM dw, sizes)
+), hit AS (SELECT DISTINCT doc_id, k, d.n, item_id FROM dwin d JOIN win b ON d.win = b.win AND d.n = b.n),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {q.__name__: q for q in (op5_simhash, op6_line_dedup, op9_secret_scan)}
+    found = {q.__name__: q for q in (op5_simhash, op6_line_dedup, op9_secret_scan, op10_decontaminate)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op10_decontaminate": OP10_SQL, "op6_line_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL}
