@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import documents
 from loomstone.llm.decontaminate import contamination
 from loomstone.llm.line_dedup import dedup_lines
+from loomstone.llm.merkle import fingerprint, likeness, with_next
 from loomstone.llm.secret_scan import scan_secrets
 from loomstone.llm.simhash import near_duplicates
 
@@ -38,6 +39,68 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
 """
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    return (
+        with_next(docs, "doc_id", "text", "next_text")
+        .select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+        .select(
+            "doc_id",
+            "n_chars",
+            F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+            fingerprint(F.col("text")).alias("fingerprint"),
+            fingerprint(F.col("edited")).alias("edited_fingerprint"),
+            fingerprint(F.col("next_text")).alias("next_fingerprint"),
+        )
+        .select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            "fingerprint",
+            "edited_fingerprint",
+            likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+            likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        )
+    )
+
+
+def _print_sql(x: str) -> str:
+    clauses = r"string_split(regexp_replace(p, '([.!?,;:|&$%*#])[ \t]+', '\1' || chr(1), 'g'), chr(1))"
+    paragraph = f"array_to_string(list_transform({clauses}, lambda c: left(md5(c), 8)), '')"
+    section = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: {paragraph}), ',')"
+    return f"md5({x}) || ':' || array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: {section}), ';')"
+
+
+def _leaves_sql(p: str) -> str:
+    return f"list_distinct(regexp_extract_all(split_part({p}, ':', 2), '[0-9a-f]{{8}}'))"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    x, y = _leaves_sql(a), _leaves_sql(b)
+    return (
+        f"CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0::DOUBLE"
+        f" ELSE len(list_intersect({x}, {y}))::DOUBLE / greatest(len({x}), len({y})) END"
+    )
+
+
+OP7_SQL = f"""
+WITH o AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nxt
+    FROM documents WINDOW w AS (ORDER BY doc_id DESC)
+), e AS (
+    SELECT doc_id, t, nxt, length(t) AS n, substr(t, 1, length(t) - length(t) // 3) || substr(nxt, 1, length(t) // 3) AS ed FROM o
+), p AS (
+    SELECT doc_id, n, sha256(ed) AS edited_sha256, {_print_sql("t")} AS a, {_print_sql("ed")} AS b, {_print_sql("nxt")} AS c FROM e
+)
+SELECT doc_id, n AS n_chars, edited_sha256, a AS fingerprint, b AS edited_fingerprint, {_likeness_sql("a", "b")} AS near_edited,
+       {_likeness_sql("a", "c")} AS near_next
+FROM p
+"""
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     named = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -115,9 +178,9 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {q.__name__: q for q in (op5_simhash, op6_line_dedup, op9_secret_scan, op10_decontaminate)}
+    found = {q.__name__: q for q in (op5_simhash, op6_line_dedup, op7_merkle, op9_secret_scan, op10_decontaminate)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL, "op6_line_dedup": OP6_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op10_decontaminate": OP10_SQL, "op6_line_dedup": OP6_SQL, "op7_merkle": OP7_SQL, "op9_secret_scan": OP9_SQL}
