@@ -4,15 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.llm.bpe import encode
 from loomstone.llm.common import documents
 from loomstone.llm.decontaminate import contamination
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.merkle import fingerprint, likeness, with_next
 from loomstone.llm.secret_scan import scan_secrets
 from loomstone.llm.simhash import near_duplicates
+from loomstone.llm.toxicity import score_toxicity
+
+
+def word_vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), word_vocabulary(), decoded="decoded")
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(listed, "utf-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +201,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {q.__name__: q for q in (op5_simhash, op6_line_dedup, op7_merkle, op9_secret_scan, op10_decontaminate)}
+    found = {q.__name__: q for q in (op3_bpe, op4_toxicity, op5_simhash, op6_line_dedup, op7_merkle, op9_secret_scan, op10_decontaminate)}
     return found
 
 
