@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.llm.bitplanes import crc32, read_documents, write_ids
 from loomstone.llm.bpe import encode
 from loomstone.llm.common import documents
 from loomstone.llm.decontaminate import contamination
@@ -16,12 +17,19 @@ from loomstone.llm.merkle import fingerprint, likeness, with_next
 from loomstone.llm.secret_scan import scan_secrets
 from loomstone.llm.simhash import near_duplicates
 from loomstone.llm.toxicity import score_toxicity
+from loomstone.session import shared_path
 
 
 def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-ids")
+    write_ids(documents(spark, sf_dir), path, word_vocabulary(), drops_space=True)
+    return read_documents(spark, path, each=crc32).select("doc_id", "start", "n_tokens", F.col("digest").alias("ids_crc32"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(documents(spark, sf_dir).select("doc_id", "text"), word_vocabulary(), decoded="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -201,7 +209,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {q.__name__: q for q in (op3_bpe, op4_toxicity, op5_simhash, op6_line_dedup, op7_merkle, op9_secret_scan, op10_decontaminate)}
+    found = {q.__name__: q for q in (op1_bitplanes, op3_bpe, op4_toxicity, op5_simhash, op6_line_dedup, op7_merkle, op9_secret_scan, op10_decontaminate)}
     return found
 
 
