@@ -12,10 +12,12 @@ from loomstone.llm.bitplanes import crc32, read_documents, write_ids
 from loomstone.llm.bpe import encode
 from loomstone.llm.common import documents
 from loomstone.llm.decontaminate import contamination
+from loomstone.llm.license_scan import scan_licenses
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.merkle import fingerprint, likeness, with_next
 from loomstone.llm.secret_scan import scan_secrets
 from loomstone.llm.simhash import near_duplicates
+from loomstone.llm.token_counts import count_tokens
 from loomstone.llm.toxicity import score_toxicity
 from loomstone.session import shared_path
 
@@ -30,6 +32,10 @@ def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path, each=crc32).select("doc_id", "start", "n_tokens", F.col("digest").alias("ids_crc32"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "largest")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(documents(spark, sf_dir).select("doc_id", "text"), word_vocabulary(), decoded="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -132,6 +138,17 @@ FROM p
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("licenses.name", ",").alias("names"),
+        F.coalesce(F.array_max("licenses.containment"), F.lit(0.0)).alias("containment"),
+        "licenses",
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     named = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -209,9 +226,20 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {q.__name__: q for q in (op1_bitplanes, op3_bpe, op4_toxicity, op5_simhash, op6_line_dedup, op7_merkle, op9_secret_scan, op10_decontaminate)}
-    return found
+    each = (
+        op1_bitplanes,
+        op2_token_counts,
+        op3_bpe,
+        op4_toxicity,
+        op5_simhash,
+        op6_line_dedup,
+        op7_merkle,
+        op8_license_scan,
+        op9_secret_scan,
+        op10_decontaminate,
+    )
+    return {q.__name__: q for q in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL, "op6_line_dedup": OP6_SQL, "op7_merkle": OP7_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op7_merkle": OP7_SQL, "op9_secret_scan": OP9_SQL, "op10_decontaminate": OP10_SQL}
