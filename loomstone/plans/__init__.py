@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import grouping
+from loomstone.plans import grouping, sequences
 
-MODULES = (grouping,)
+MODULES = (grouping, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
