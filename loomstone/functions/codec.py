@@ -7,6 +7,7 @@ import base64
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -52,12 +53,12 @@ def to_base2(b: Column) -> Column:
     return F.when(F.length(digits) == 0, F.lit("")).otherwise(F.array_join(F.transform(places, eight), ""))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def to_base32(b: pd.Series) -> pd.Series:
     return b.map(lambda x: base64.b32encode(x).decode(), na_action="ignore")
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def from_base32(s: pd.Series) -> pd.Series:
     def one(t: str) -> bytes | None:
         try:
@@ -72,7 +73,7 @@ def from_base32(s: pd.Series) -> pd.Series:
 
 
 def luhn_valid(s: Column) -> Column:
-    return F.luhn_check(s)
+    return F.call_function("luhn_check", s)
 
 
 def luhn_digit(s: Column) -> Column:
@@ -89,7 +90,7 @@ def isin_digits(s: Column) -> Column:
 
 
 def isin_valid(s: Column) -> Column:
-    return s.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.luhn_check(isin_digits(s))
+    return s.rlike("^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & F.call_function("luhn_check", isin_digits(s))
 
 
 def isin_country(s: Column) -> Column:

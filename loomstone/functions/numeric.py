@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Scalars
@@ -72,29 +73,29 @@ def scalb(x: Column, n: Column | int) -> Column:
     return x * F.pow(F.lit(2.0), n if isinstance(n, Column) else F.lit(n))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def ulp(x: pd.Series) -> pd.Series:
     """The distance to the next double of greater magnitude."""
     return pd.Series(np.spacing(np.abs(x.to_numpy())))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def next_up(x: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(x.to_numpy(), np.inf))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def next_down(x: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(x.to_numpy(), -np.inf))
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def exponent(x: pd.Series) -> pd.Series:
     """The unbiased binary exponent."""
     return pd.Series(np.frexp(x.to_numpy())[1] - 1)
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def bits(x: pd.Series) -> pd.Series:
     """The bits of a double as a long."""
     return pd.Series(x.to_numpy(np.float64).view(np.int64))
@@ -202,7 +203,7 @@ def submatrix(m: Column, row: int, column: int) -> Column:
     return F.transform(F.filter(m, lambda r, i: i != row), lambda r: F.filter(r, lambda x, j: j != column))
 
 
-def _linear(kind: str, f):
+def _linear(kind: T.DataType, f):
     @pandas_udf(kind)
     def call(m: pd.Series) -> pd.Series:
         def one(rows):
@@ -216,11 +217,11 @@ def _linear(kind: str, f):
     return call
 
 
-determinant = _linear("double", lambda a: float(np.linalg.det(a)))
-inverse = _linear("array<array<double>>", lambda a: np.linalg.inv(a).tolist())
-rank = _linear("int", lambda a: int(np.linalg.matrix_rank(a)))
+determinant = _linear(T.DoubleType(), lambda a: float(np.linalg.det(a)))
+inverse = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), lambda a: np.linalg.inv(a).tolist())
+rank = _linear(T.IntegerType(), lambda a: int(np.linalg.matrix_rank(a)))
 #: Real eigenvalues, ascending; null where some are not real.
-eigenvalues = _linear("array<double>", lambda a: None if np.iscomplex(e := np.linalg.eigvals(a)).any() else sorted(e.real.tolist()))
+eigenvalues = _linear(T.ArrayType(T.DoubleType()), lambda a: None if np.iscomplex(e := np.linalg.eigvals(a)).any() else sorted(e.real.tolist()))
 
 
 def cofactor(m: Column, row: int, column: int) -> Column:

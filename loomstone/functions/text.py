@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _SPACE = r"[\s\u0085\p{Z}]"
@@ -191,7 +192,7 @@ def sub_pattern(s: Column, pattern: str, replacement: str, n: int | None = None)
         return F.regexp_replace(s, pattern, replacement)
     compiled, template = re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", replacement)
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def first(x: pd.Series) -> pd.Series:
         return x.map(lambda t: compiled.sub(template, t, count=n), na_action="ignore")
 
@@ -294,7 +295,7 @@ def _jaro_of(x: str | None, y: str | None) -> float | None:
     return (m / len(x) + m / len(y) + (m - swaps) / m) / 3
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -339,7 +340,7 @@ def smart_case_equal(a: Column, b: Column) -> Column:
 # Characters
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def graphemes(s: pd.Series) -> pd.Series:
     """The user-perceived characters of a text."""
     import regex
@@ -348,7 +349,7 @@ def graphemes(s: pd.Series) -> pd.Series:
     return s.map(clusters.findall, na_action="ignore")
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def display_width(s: pd.Series) -> pd.Series:
     """How many terminal columns a text takes: two for wide characters, none for combining ones."""
     import unicodedata
@@ -359,7 +360,7 @@ def display_width(s: pd.Series) -> pd.Series:
     return s.map(width, na_action="ignore").astype("Int32")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def character_name(s: pd.Series) -> pd.Series:
     """Unicode's name of the first character."""
     import unicodedata
@@ -367,7 +368,7 @@ def character_name(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.name(t[0], None) if t else None, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def punycode(s: pd.Series) -> pd.Series:
     """A host name in its ASCII form; null where it has none."""
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import grouping, sequences
+from loomstone.plans import grouping, relations, sequences, texts
 
-MODULES = (grouping, sequences)
+MODULES = (grouping, sequences, relations, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
