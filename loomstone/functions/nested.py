@@ -63,10 +63,14 @@ def assign(c: Column, updates: Sequence[tuple[Path, Column | Any]]) -> Column:
     """``c`` with several places set, one after the other."""
     for path, value in updates:
         new = value if isinstance(value, Column) else F.lit(value)
-        c = modify(c, path, lambda _, new=new: new)
+        c = modify(c, path, _constant(new))
     return c
 
 
+def _constant(new: Column) -> Update:
+    return lambda _: new
+
+
 def get(c: Column, path: Path) -> Column:
     """What the path leads to; ``each`` and ``matching`` give arrays."""
     for n, step in enumerate(path):
@@ -78,7 +82,8 @@ def get(c: Column, path: Path) -> Column:
             c = F.try_element_at(c, F.lit(step.value))
         else:
             elements = c if step.kind == "each" else F.filter(c, step.value)
-            return F.transform(elements, lambda x, n=n: get(x, path[n + 1 :]))
+            rest = path[n + 1 :]
+            return F.transform(elements, lambda x: get(x, rest))
     return c
 
 
@@ -185,7 +190,7 @@ def schema_errors(s: Column, schema: dict, pointer: str = "") -> list[Column]:
     if kind == "integer":
         flag(present & ~text.rlike(r"^-?\d+$"), "not an integer")
     elif kind == "number":
-        flag(present & F.expr("1 = 1") & text.try_cast("double").isNull(), "not a number")
+        flag(present & text.try_cast("double").isNull(), "not a number")
     elif kind == "boolean":
         flag(present & ~text.isin("true", "false"), "not a boolean")
     number = text.try_cast("double")

@@ -228,8 +228,9 @@ def cofactor(m: Column, row: int, column: int) -> Column:
     return determinant(submatrix(m, row, column)) * (-1) ** (row + column)
 
 
-def solve(m: Column, v: Column) -> Column:
-    return matrix_apply(inverse(m), v)
+def solve(inverted: Column, v: Column) -> Column:
+    """The solution for ``v``, from a column that holds the matrix's inverse."""
+    return matrix_apply(inverted, v)
 
 
 def matrix_product_rows(a, b):

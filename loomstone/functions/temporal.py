@@ -336,7 +336,7 @@ def span_iso(a: Column) -> Column:
 def parse_span(s: Column) -> Column:
     """The span of ISO 8601 text, or null where it is none."""
     pattern = r"^P(?:(-?\d+)Y)?(?:(-?\d+)M)?(?:(-?\d+)W)?(?:(-?\d+)D)?(?:T(?:(-?\d+)H)?(?:(-?\d+)M)?(?:(-?\d+)S)?)?$"
-    get = lambda i: F.coalesce(F.expr("try_cast(NULL AS BIGINT)"), F.nullif(F.regexp_extract(s, pattern, i), F.lit("")).cast("long"), F.lit(0))
+    get = lambda i: F.coalesce(F.nullif(F.regexp_extract(s, pattern, i), F.lit("")).cast("long"), F.lit(0))
     return F.when(s.rlike(pattern) & (s != "P") & ~s.endswith("T"), F.struct(*[get(i + 1).cast("long").alias(k) for i, k in enumerate(_SPAN)]))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import grouping, relations, sequences, texts
+from loomstone.plans import dates, graphs, grouping, nesting, numbers, relations, sequences, streams, texts
 
-MODULES = (grouping, sequences, relations, texts)
+MODULES = (grouping, sequences, relations, texts, dates, numbers, nesting, graphs, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
