@@ -108,5 +108,5 @@ def with_next(docs: DataFrame, order: str, carry: str, out: str, buckets: int |
     rows = docs.select("*", *keys).join(F.broadcast(tops), [b, o, tie], "left")
     copies = F.when(F.col(to).isNull(), F.array(F.col(b))).otherwise(F.array(b, to))
     placed = rows.select(*[quoted(c) for c in docs.columns], o, tie, F.posexplode(copies).alias(ghost, b))
-    ahead = Window.partitionBy(b).orderBy(ghost, F.desc(o), tie)
+    ahead = Window.partitionBy(b).orderBy(ghost, F.desc(o), F.desc(tie))
     return placed.withColumn(out, F.lead(quoted(carry)).over(ahead)).filter(F.col(ghost) == 0).select(*[quoted(c) for c in docs.columns], quoted(out))
