@@ -52,7 +52,11 @@ TEMPLATES = {
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Odd factors: each orders the hashes, which are well mixed before, in another way.
+_FACTORS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_LOW = np.uint64(0xFFFF)
+#: Bytes of text that are searched at a time; the arrays of a part stay in a core's cache.
+PART_BYTES = 512 << 10
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +81,17 @@ class Templates:
         self.names = [list(texts)[k] for k in kept]
         self.sets = [sets[k] for k in kept]
         self.sizes = [int(bounds[k + 1] - bounds[k]) for k in kept]
-        self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for c in sorted({self._class(n) for n in self.sizes}):
             mine = np.array([k for k, n in enumerate(self.sizes) if self._class(n) == c])
             bands = []
-            for seed in _SEEDS:
-                minima = np.array([mix(self.sets[k] ^ seed).min() for k in mine])
+            for factor in _FACTORS:
+                minima = np.array([(self.sets[k] * factor).min() for k in mine])
                 order = np.argsort(minima)
-                bands.append((minima[order], mine[order]))
+                # Which low halves occur: a look that most windows do not pass.
+                seen = np.zeros(1 << 16, bool)
+                seen[minima & _LOW] = True
+                bands.append((minima[order], mine[order], seen))
             self.classes[c] = bands
 
     @staticmethod
@@ -107,25 +114,23 @@ def find_templates(column: pa.Array, templates: Templates, banded: bool = True)
         return []
     candidates: dict[tuple[int, int], set[int]] = {}
     layout = {c: _windows(bounds, c) for c in templates.classes}
-    for band, seed in enumerate(_SEEDS if banded else _SEEDS[:1]):
-        values = mix(hashes ^ seed)
-        for c, bands in templates.classes.items():
-            begin, text = layout[c]
-            if banded:
-                blocks = np.minimum.reduceat(values, begin)
+    if banded:
+        paired = {c: np.append(text[1:] == text[:-1], False) for c, (_, text) in layout.items()}
+        for band, factor in enumerate(_FACTORS):
+            values = hashes * factor
+            for c, bands in templates.classes.items():
+                blocks = values if c == 1 else np.minimum.reduceat(values, layout[c][0])
                 pairs = blocks.copy()
-                joined = np.flatnonzero(text[1:] == text[:-1])
-                pairs[joined] = np.minimum(blocks[joined], blocks[joined + 1])
-                minima, owners = bands[band]
-                at = np.searchsorted(minima, pairs)
-                at[at == len(minima)] = 0
-                for k in np.flatnonzero(minima[at] == pairs).tolist():
-                    same = slice(at[k], int(np.searchsorted(minima, pairs[k], "right")))
-                    for owner in owners[same].tolist():
+                np.minimum(blocks[:-1], blocks[1:], out=pairs[:-1], where=paired[c][:-1])
+                minima, owners, seen = bands[band]
+                for k in np.flatnonzero(seen[pairs & _LOW]).tolist():
+                    low, high = np.searchsorted(minima, pairs[k]), np.searchsorted(minima, pairs[k], "right")
+                    for owner in owners[low:high].tolist():
                         candidates.setdefault((c, owner), set()).add(k)
-            else:
-                for owner in bands[0][1].tolist():
-                    candidates[c, owner] = set(range(len(begin)))
+    else:
+        for c, bands in templates.classes.items():
+            for owner in bands[0][1].tolist():
+                candidates[c, owner] = set(range(len(layout[c][0])))
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for (c, owner), windows in candidates.items():
         begin, text = layout[c]
@@ -153,7 +158,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 out: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for t, owner, share, word in find_templates(part.column("text"), known):
                     out[t].append({"name": known.names[owner], "containment": share, "word": word})
