@@ -81,21 +81,16 @@ def islamic(d: Column) -> Column:
 
 
 def indian(d: Column) -> Column:
-    """The Indian national calendar: it begins on 22 March, or 21 in leap years."""
-    y = F.year(d)
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    first = F.when(leap, F.lit(80)).otherwise(F.lit(81))
-    of_year = F.dayofyear(d)
-    previous = of_year < first
-    # The lengths of Chaitra differ; the five months that follow have 31 days, the others 30.
-    day = F.when(previous, of_year + 284).otherwise(of_year - first).cast("long")
-    chaitra = F.when(previous, F.lit(30)).when(leap, F.lit(31)).otherwise(F.lit(30)).cast("long")
-    in_year = F.when(previous, of_year.cast("long") - 1 + 365 - 80).otherwise(day)
-    rest = in_year - chaitra
-    long_part = rest < 155
-    month = F.when(in_year < chaitra, F.lit(1).cast("long")).when(long_part, _div(rest, 31) + 2).otherwise(_div(rest - 155, 30) + 7)
-    dom = F.when(in_year < chaitra, in_year + 1).when(long_part, _mod(rest, 31) + 1).otherwise(_mod(rest - 155, 30) + 1)
-    return _ymd(y - 78 - F.when(previous, 1).otherwise(0), month, dom)
+    """The Indian national calendar: a year begins on 22 March, or on the 21st in leap years."""
+    leap = lambda y: (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    begins = lambda y: F.make_date(y, F.lit(3), F.when(leap(y), F.lit(21)).otherwise(F.lit(22)))
+    y = F.year(d) - F.when(d < begins(F.year(d)), 1).otherwise(0)
+    # The first month has 30 days, or 31 in leap years; then five have 31 and six have 30.
+    n = F.datediff(d, begins(y)).cast("long")
+    rest = n - F.when(leap(y), 31).otherwise(30)
+    month = F.when(rest < 0, F.lit(1).cast("long")).when(rest < 155, _div(rest, 31) + 2).otherwise(_div(rest - 155, 30) + 7)
+    day = F.when(rest < 0, n).when(rest < 155, _mod(rest, 31)).otherwise(_mod(rest - 155, 30)) + 1
+    return _ymd(y - 78, month, day)
 
 
 def buddhist_year(d: Column) -> Column:

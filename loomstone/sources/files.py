@@ -37,7 +37,7 @@ def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataF
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): a row per file, read whole."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def decoded(spark: SparkSession, path: str, charset: str) -> DataFrame:
