@@ -35,13 +35,14 @@ def from_hex(s: Column) -> Column:
 
 
 def to_base64(b: Column, url_safe: bool = False) -> Column:
-    plain = F.base64(b)
+    # Spark may break long texts into lines.
+    plain = F.translate(F.base64(b), "\r\n", "")
     return F.rtrim(F.translate(plain, "+/", "-_"), F.lit("=")) if url_safe else plain
 
 
 def from_base64(s: Column) -> Column:
-    """Bytes of either alphabet, padded or not."""
-    plain = F.translate(F.rtrim(s, F.lit("=")), "-_", "+/")
+    """Bytes of either alphabet, padded or not, in one line or several."""
+    plain = F.translate(F.rtrim(F.translate(s, "\r\n", ""), F.lit("=")), "-_", "+/")
     return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")))
 
 

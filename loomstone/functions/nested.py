@@ -270,3 +270,30 @@ def xml_at(s: Column, path: str, kind: str = "string") -> Column:
     """What an XPath leads to: string, number, boolean or nodes (an array of texts); null where the text is no XML."""
     by = {"string": F.xpath_string, "number": F.xpath_double, "boolean": F.xpath_boolean, "nodes": F.xpath}
     return by[kind](s, F.lit(path))
+
+
+def xml_struct(s: Column, schema: str, **options: str) -> Column:
+    """XML text as a struct; attributes are fields that begin with an underscore unless ``attributePrefix`` says otherwise."""
+    return F.from_xml(s, schema, options)
+
+
+def to_xml(c: Column, row_tag: str = "ROW") -> Column:
+    return F.to_xml(c, {"rowTag": row_tag})
+
+
+def json_equal(a: Column, b: Column) -> Column:
+    """Whether two JSON texts have one value: the order of keys and trailing zeros do not matter; null where one is no JSON."""
+    return F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))
+
+
+def json_kind(s: Column) -> Column:
+    """``object``, ``array``, ``string``, ``number``, ``boolean`` or ``null``; null where the text is no JSON."""
+    kind = F.schema_of_variant(F.try_parse_json(s))
+    return (
+        F.when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .when(kind == "STRING", "string")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind == "VOID", "null")
+        .when(kind.isNotNull(), "number")
+    )

@@ -377,3 +377,18 @@ def hsv(r: Column, g: Column, b: Column) -> Column:
     d = high - low
     h = F.when(d == 0, F.lit(0.0)).when(high == r, F.pmod((g - b) / d, F.lit(6.0))).when(high == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
     return F.struct((60 * h).alias("hue"), F.when(high == 0, F.lit(0.0)).otherwise(d / high).alias("saturation"), high.alias("value"))
+
+
+def mixed_radix(x: Column, sizes: list[int]) -> Column:
+    """A whole number in mixed units, largest first; ``sizes`` says how many of each make one of the unit before."""
+    parts, rest = [], x.cast("long")
+    for size in reversed(sizes):
+        parts.append(F.pmod(rest, F.lit(size).cast("long")))
+        rest = F.floor(rest / size).cast("long")
+    return F.array(rest, *reversed(parts))
+
+
+def decimalize(x: Column, digits: int) -> Column:
+    """A number rounded to so many significant figures."""
+    power = F.floor(F.log10(F.abs(x))) + 1 - digits
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / F.pow(F.lit(10.0), power)) * F.pow(F.lit(10.0), power))

@@ -198,30 +198,31 @@ def collate(spark, sf_dir):
 @_R.add(
     "q_upsert",
     """
-    SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 10 <> 0
-    UNION ALL SELECT p_partkey, upper(p_name), p_size + 100 FROM part WHERE p_partkey % 10 = 0
+    SELECT p_partkey, p_name, p_size FROM part WHERE p_size <= 45
+    UNION ALL SELECT p_partkey, upper(p_name), p_size + 100 FROM part WHERE p_size > 45
     """,
 )
 def upsert(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    changes = parts.filter("p_partkey % 10 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size"))
+    changes = parts.filter("p_size > 45").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 100).alias("p_size"))
     return R.upsert(parts, changes, ["p_partkey"])
 
 
 @_R.add(
     "q_contrast",
     """
-    WITH a AS (SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 7 <> 0),
-         b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE s_name END AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 11 <> 0)
+    WITH a AS (SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_acctbal > -500),
+         b AS (SELECT s_suppkey AS k, CASE WHEN s_nationkey < 5 THEN 'x' ELSE s_name END AS name, s_nationkey AS nation FROM supplier WHERE s_acctbal < 9000)
     SELECT k, CASE WHEN b.name IS NULL THEN 'left' WHEN a.name IS NULL THEN 'right' WHEN a.name = b.name THEN 'same' ELSE 'different' END AS status,
            CASE WHEN a.name <> b.name THEN 'name' ELSE '' END AS changed FROM a FULL JOIN b USING (k)
     """,
 )
 def contrast(spark, sf_dir):
     """What differs between two versions of a table."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
-    edited = s.filter("k % 11 <> 0").withColumn("name", F.when(F.col("k") % 5 == 0, "x").otherwise(F.col("name")))
-    return R.contrast(s.filter("k % 7 <> 0"), edited, ["k"]).withColumn("changed", F.array_join("changed", ","))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), "s_acctbal")
+    edited = s.filter("s_acctbal < 9000").withColumn("name", F.when(F.col("nation") < 5, "x").otherwise(F.col("name")))
+    found = R.contrast(s.filter("s_acctbal > -500").drop("s_acctbal"), edited.drop("s_acctbal"), ["k"])
+    return found.withColumn("changed", F.array_join("changed", ","))
 
 
 @_R.add("q_intern", "SELECT c_mktsegment AS value, dense_rank() OVER (ORDER BY c_mktsegment) AS ref FROM (SELECT DISTINCT c_mktsegment FROM customer)")
@@ -250,7 +251,7 @@ def lookup(spark, sf_dir):
     return R.lookup(pairs, wanted, nations).join(wanted, "left").select("r_name", "n_name")
 
 
-@_R.add("q_unassign", "SELECT n_regionkey AS \"left\", n_nationkey AS \"right\" FROM nation WHERE n_nationkey % 4 <> 0")
+@_R.add("q_unassign", "SELECT n_regionkey AS \"left\", n_nationkey AS \"right\" FROM nation WHERE n_regionkey <> 2")
 def unassign(spark, sf_dir):
     pairs = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("left"), F.col("n_nationkey").alias("right"))
-    return R.unassign(R.assign(pairs, pairs), pairs.filter(F.col("right") % 4 == 0))
+    return R.unassign(R.assign(pairs, pairs), pairs.filter(F.col("left") == 2))

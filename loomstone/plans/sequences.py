@@ -205,12 +205,12 @@ def skip(spark, sf_dir):
 
 def _sizes(spark, sf_dir):
     """Each brand's part sizes in the order of their keys, as an array."""
-    parts = table(spark, sf_dir, "part").filter("p_partkey <= 400")
+    parts = table(spark, sf_dir, "part")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda s: s["p_size"])
     return parts.groupBy("p_brand").agg(ordered.alias("a"))
 
 
-_A = "WITH t AS (SELECT p_brand, list(p_size ORDER BY p_partkey) AS a FROM part WHERE p_partkey <= 400 GROUP BY 1)"
+_A = "WITH t AS (SELECT p_brand, list(p_size ORDER BY p_partkey) AS a FROM part GROUP BY 1)"
 _S = "array_to_string({}, ',')"
 
 
@@ -292,8 +292,8 @@ def array_zip(spark, sf_dir):
 @_R.add(
     "q_map_collate",
     """
-    WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
-         b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+    WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value < 60 GROUP BY 1, 2),
+         b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 20 GROUP BY 1, 2)
     SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS merged
     FROM (SELECT user_id, event_type, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM a FULL JOIN b USING (user_id, event_type))
     WHERE user_id IN (SELECT user_id FROM a) AND user_id IN (SELECT user_id FROM b) GROUP BY 1
@@ -302,10 +302,10 @@ def array_zip(spark, sf_dir):
 def map_collate(spark, sf_dir):
     """Two maps of counts per user as one, with counts of common keys added."""
 
-    def counts(divisor, name):
-        found = table(spark, sf_dir, "events").filter(F.col("event_id") % divisor == 0).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    def counts(condition, name):
+        found = table(spark, sf_dir, "events").filter(condition).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
         return found.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias(name))
 
-    both = counts(2, "a").join(counts(3, "b"), "user_id")
+    both = counts("value < 60", "a").join(counts("value > 20", "b"), "user_id")
     merged = F.array_sort(F.map_entries(C.collate(F.col("a"), F.col("b"), lambda x, y: x + y)))
     return both.select("user_id", F.array_join(F.transform(merged, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))

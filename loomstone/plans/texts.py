@@ -16,19 +16,18 @@ QUERIES, ORACLES = _R.queries, _R.oracles
 @_R.add(
     "q_words",
     r"""
-    SELECT doc_id, len(string_split(text, ' ')) AS n_words, len(string_split(text, chr(10))) AS n_lines,
-           array_to_string(list_transform(range(1, 31, 10), lambda i: substr(text, i, 10)), '|') AS pieces
-    FROM documents WHERE length(text) >= 30
+    SELECT doc_id, len(string_split(text, ' ')) AS n_words, len(string_split(text, chr(10))) AS n_lines, length(text) AS n_chars,
+           md5(array_to_string(list_reverse(string_split(text, ' ')), ' ')) AS turned FROM documents
     """,
 )
 def words(spark, sf_dir):
     t = F.col("text")
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 30)
-    return docs.select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.size(X.words(t)).cast("long").alias("n_words"),
         F.size(X.lines(t)).cast("long").alias("n_lines"),
-        F.array_join(X.slices(F.left(t, F.lit(30)), 10), "|").alias("pieces"),
+        F.length(t).cast("long").alias("n_chars"),
+        F.md5(X.spaced(F.reverse(X.words(t))).cast("binary")).alias("turned"),
     )
 
 
@@ -84,7 +83,7 @@ def chomp(spark, sf_dir):
     "q_count_sub",
     """
     SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n_the,
-           CASE WHEN instr(text, 'th') > 0 THEN instr(text, 'th') - 1 END AS first_th, replace(left(text, 100), 'e', '3') AS replaced,
+           CASE WHEN instr(text, 'th') > 0 THEN instr(text, 'th') - 1 END AS first_th, md5(replace(text, 'e', '3')) AS replaced,
            text LIKE '%tion%' AS has_tion FROM documents
     """,
 )
@@ -94,7 +93,7 @@ def count_sub(spark, sf_dir):
         "doc_id",
         X.count(t, "the").cast("long").alias("n_the"),
         X.offset_of(t, "th").cast("long").alias("first_th"),
-        X.sub(F.left(t, F.lit(100)), "e", "3").alias("replaced"),
+        F.md5(X.sub(t, "e", "3").cast("binary")).alias("replaced"),
         t.contains("tion").alias("has_tion"),
     )
 
@@ -192,15 +191,15 @@ def regex(spark, sf_dir):
     "q_search_spans",
     r"""
     WITH m AS (SELECT page_id, string_split_regex(html, '<[a-z]+[0-9]?') AS p, regexp_extract_all(html, '<[a-z]+[0-9]?') AS o FROM pages),
-         k AS (SELECT *, unnest(range(1, least(len(o), 3) + 1)) AS i FROM m)
+         k AS (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM m)
     SELECT page_id, string_agg(s || '-' || (s + length(o[i])), ',' ORDER BY i) AS spans FROM (
         SELECT *, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(o[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM k)
     GROUP BY 1
     """,
 )
 def search_spans(spark, sf_dir):
-    """Where a pattern's first three matches are."""
-    found = F.slice(X.search_spans(F.col("html"), "<[a-z]+[0-9]?"), 1, 3)
+    """Where a pattern's matches are."""
+    found = X.search_spans(F.col("html"), "<[a-z]+[0-9]?")
     spans = F.array_join(F.transform(found, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
     return table(spark, sf_dir, "pages").filter(F.col("html").rlike("<[a-z]+[0-9]?")).select("page_id", spans.alias("spans"))
 
@@ -223,24 +222,24 @@ def url(spark, sf_dir):
 
 @_R.add(
     "q_digest",
-    "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, lower(hex(encode(left(text, 20)))) AS head FROM documents",
+    "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, lower(hex(encode(text))) AS hex FROM documents",
 )
 def digest(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", *[K.digest(t, a).alias(a) for a in ("md5", "sha1", "sha256")], K.to_hex(F.left(t, F.lit(20)).cast("binary")).alias("head")
+        "doc_id", *[K.digest(t, a).alias(a) for a in ("md5", "sha1", "sha256")], K.to_hex(t.cast("binary")).alias("hex")
     )
 
 
 @_R.add(
     "q_base64",
-    "SELECT doc_id, base64(encode(left(text, 30))) AS plain, rtrim(translate(base64(encode(left(text, 30))), '+/', '-_'), '=') AS url_safe, left(text, 30) AS back FROM documents",
+    "SELECT doc_id, base64(encode(text)) AS plain, rtrim(translate(base64(encode(text)), '+/', '-_'), '=') AS url_safe, text AS back FROM documents",
 )
 def base64(spark, sf_dir):
-    head = F.left("text", F.lit(30))
-    safe = K.to_base64(head.cast("binary"), url_safe=True)
+    text = F.col("text").cast("binary")
+    safe = K.to_base64(text, url_safe=True)
     return table(spark, sf_dir, "documents").select(
-        "doc_id", K.to_base64(head.cast("binary")).alias("plain"), safe.alias("url_safe"), K.from_base64(safe).cast("string").alias("back")
+        "doc_id", K.to_base64(text).alias("plain"), safe.alias("url_safe"), K.from_base64(safe).cast("string").alias("back")
     )
 
 
@@ -260,10 +259,10 @@ def luhn(spark, sf_dir):
 
 @_R.add("q_bloom")
 def bloom(spark, sf_dir):
-    """A filter of some documents' ids, asked for all: no false negative; SQL has no such filter."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    """A filter of the ids of English documents, asked for all: no false negative; SQL has no such filter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     shape = sketch.Bloom(100_000, 0.01)
-    made = sketch.build(docs.filter("doc_id % 3 = 0"), F.col("doc_id"), shape)
+    made = sketch.build(docs.filter("lang = 'en'"), F.col("doc_id"), shape)
     return sketch.probe(docs, F.col("doc_id"), made, shape)
 
 
