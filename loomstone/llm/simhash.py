@@ -125,7 +125,9 @@ def links(fps: DataFrame) -> DataFrame:
     grouped = fps.join(group.select(F.col("id").alias("fp"), "component"), "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("part")
     )
-    grouped = cut(grouped)
+    # Each row becomes 68 keys, so that few small partitions would be few long tasks.
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = cut(grouped.repartition(spread))
 
     a = grouped.select(F.col("fp").alias("a"), F.col("part").alias("part_a"), F.explode(probe).alias("key"))
     b = grouped.select(F.col("fp").alias("b"), F.col("part").alias("part_b"), F.explode(stored).alias("key"))
