@@ -160,3 +160,57 @@ def decoded(b: Column, charset: str = "UTF-8", malformed: str = "substitute") ->
         return F.decode(b, charset)
     text = b.cast("string")
     return {"substitute": F.make_valid_utf8, "skip": F.try_validate_utf8, "strict": F.validate_utf8}[malformed](text)
+
+
+# Compression
+
+
+def _packer(algorithm: str):
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+
+    known = {
+        "gzip": (lambda x: gzip.compress(x, mtime=0), gzip.decompress),
+        "zlib": (zlib.compress, zlib.decompress),
+        "deflate": (lambda x: zlib.compress(x, wbits=-15), lambda x: zlib.decompress(x, wbits=-15)),
+        "bzip2": (bz2.compress, bz2.decompress),
+        "xz": (lzma.compress, lzma.decompress),
+    }
+    return known[algorithm]
+
+
+def compress(b: Column, algorithm: str = "gzip") -> Column:
+    """Each value's bytes compressed by gzip, zlib, deflate, bzip2 or xz; files take Spark's own codecs instead."""
+    _packer(algorithm)
+
+    @pandas_udf(T.BinaryType())
+    def pack(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: _packer(algorithm)[0](bytes(v)), na_action="ignore")
+
+    return pack(b)
+
+
+def decompress(b: Column, algorithm: str = "gzip") -> Column:
+    """The bytes again; null where they are no such stream."""
+    _packer(algorithm)
+
+    def one(v: bytes) -> bytes | None:
+        try:
+            return _packer(algorithm)[1](bytes(v))
+        except (OSError, EOFError, ValueError, *_errors()):
+            return None
+
+    @pandas_udf(T.BinaryType())
+    def unpack(x: pd.Series) -> pd.Series:
+        return x.map(one, na_action="ignore")
+
+    return unpack(b)
+
+
+def _errors() -> tuple:
+    import lzma
+    import zlib
+
+    return zlib.error, lzma.LZMAError

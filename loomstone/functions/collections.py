@@ -286,3 +286,19 @@ def index_by(a: Column, key: Callable[[Column], Column]) -> Column:
     keyed = F.transform(a, lambda x: F.struct(key(x).alias("key"), x.alias("value")))
     last = F.filter(keyed, lambda e, i: ~F.exists(slice_between(keyed, i + 1, F.size(keyed)), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)
+
+
+def permutation(rank: Column, n: int) -> Column:
+    """The permutation of 0 .. n-1 at a place in lexicographic order; n is at most 20.
+
+    All of them are ``spark.range(factorial(n))`` with this column.
+    """
+    zero = F.struct(F.array().cast("array<int>").alias("taken"), F.array(*map(F.lit, range(n))).alias("left"), rank.cast("long").alias("rest"))
+
+    def step(s: Column, k: Column) -> Column:
+        block = F.factorial(F.lit(n - 1) - k)
+        i = F.floor(s["rest"] / block).cast("int")
+        x = F.get(s["left"], i)
+        return F.struct(F.concat(s["taken"], F.array(x)).alias("taken"), F.array_remove(s["left"], x).alias("left"), F.pmod(s["rest"], block).alias("rest"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zero, step, lambda s: s["taken"])

@@ -392,3 +392,14 @@ def decimalize(x: Column, digits: int) -> Column:
     """A number rounded to so many significant figures."""
     power = F.floor(F.log10(F.abs(x))) + 1 - digits
     return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / F.pow(F.lit(10.0), power)) * F.pow(F.lit(10.0), power))
+
+
+def multiply_complex(a: Column, b: Column) -> Column:
+    re = a["re"] * b["re"] - a["im"] * b["im"]
+    return F.struct(re.alias("re"), (a["re"] * b["im"] + a["im"] * b["re"]).alias("im"))
+
+
+#: The transposed matrix of cofactors of an invertible matrix; null for others.
+adjugate = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), lambda a: (np.linalg.inv(a) * np.linalg.det(a)).tolist())
+#: Unit eigenvectors of a symmetric matrix, as rows, by ascending eigenvalue.
+eigenvectors = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), lambda a: np.linalg.eigh(a)[1].T.tolist())

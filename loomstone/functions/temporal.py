@@ -6,7 +6,7 @@ arithmetic, so that they stay in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -256,12 +256,14 @@ def rule(
     by_month: Sequence[int] = (),
     by_month_day: Sequence[int] = (),
     by_day: Sequence[int] = (),
+    by_set_pos: Sequence[int] = (),
     count: int | None = None,
 ) -> Column:
     """Dates of a recurrence rule from ``start`` up to and with ``until``: DAILY, WEEKLY, MONTHLY or YEARLY.
 
     Without parts, dates keep the weekday, day or anniversary of the start, and those that a month lacks are
-    skipped. ``by_day`` counts Monday as 0; a negative ``by_month_day`` counts from the month's end.
+    skipped. ``by_day`` counts Monday as 0; a negative ``by_month_day`` counts from the month's end; ``by_set_pos``
+    keeps only these of each month's dates (each year's, for YEARLY), from 1 or from -1 backwards.
     """
     days = F.sequence(start, until)
     month_no = lambda d: F.year(d) * 12 + F.month(d)
@@ -291,6 +293,11 @@ def rule(
         return ok
 
     found = F.when(start <= until, F.filter(days, good)).otherwise(F.array().cast("array<date>"))
+    if by_set_pos:
+        span_no = (lambda d: F.year(d)) if freq == "YEARLY" else month_no
+        same = lambda d: F.filter(found, lambda x: span_no(x) == span_no(d))
+        at = lambda d, n: d == F.try_element_at(same(d), F.lit(n))
+        found = F.filter(found, lambda d: F.exists(F.array(*[F.coalesce(at(d, n), F.lit(False)) for n in by_set_pos]), lambda b: b))
     return found if count is None else F.slice(found, 1, count)
 
 
@@ -377,3 +384,155 @@ def tai_offset(d: Column) -> Column:
 def to_tai(t: Column) -> Column:
     """An instant on the TAI timeline."""
     return F.timestamp_seconds(F.unix_seconds(t.cast("timestamp")) + tai_offset(t))
+
+
+# Calendars with years of uneven length: the start of a year by arithmetic, then months by their lengths
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is reckoned once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _by_year_starts(day: Column, start: Callable[[Column], Column], guess: Column, months: Callable[[Column, Column], Column]) -> Column:
+    """struct(year, month, day): the year of a day number from a guess that is at most one off, and the month from an
+    array of lengths, given the year and its days."""
+
+    def in_year(y: Column, first: Column, after: Column) -> Column:
+        def place(lengths: Column) -> Column:
+            zero = F.struct(F.lit(0).cast("long").alias("month"), (day - first).alias("rest"), F.lit(False).alias("found"))
+
+            def step(s: Column, n: Column) -> Column:
+                here = s["found"] | (s["rest"] < n)
+                rest = F.when(here, s["rest"]).otherwise(s["rest"] - n)
+                return F.struct(F.when(s["found"], s["month"]).otherwise(s["month"] + 1).alias("month"), rest.alias("rest"), here.alias("found"))
+
+            return F.aggregate(lengths, zero, step, lambda s: _ymd(y, s["month"], s["rest"] + 1))
+
+        return _let(months(y, after - first), place)
+
+    def around(y: Column) -> Column:
+        bounds = F.transform(F.sequence(y - 1, y + 2), start)
+
+        def choose(b: Column) -> Column:
+            k = F.when(day < F.get(b, F.lit(1)), 0).when(day >= F.get(b, F.lit(2)), 2).otherwise(1)
+            return in_year(y - 1 + k, F.get(b, k), F.get(b, k + 1))
+
+        return _let(bounds, choose)
+
+    return _let(guess.cast("long"), around)
+
+
+def _months(*lengths: Column | int) -> Column:
+    return F.array(*[(n if isinstance(n, Column) else F.lit(n)).cast("long") for n in lengths])
+
+
+def hebrew(d: Column) -> Column:
+    """The Hebrew calendar; months count from Tishrei, and leap years have thirteen."""
+
+    def elapsed(y: Column) -> Column:
+        moons = _div(235 * y - 234, 19)
+        day = 29 * moons + _div(12_084 + 13_753 * moons, 25_920)
+        return day + F.when(_mod(3 * (day + 1), 7) < 3, 1).otherwise(0)
+
+    def start(y: Column) -> Column:
+        def delayed(e: Column) -> Column:
+            before, here, after = (F.get(e, F.lit(i)) for i in range(3))
+            return 347_998 + here + F.when(after - here == 356, 2).when(here - before == 382, 1).otherwise(0)
+
+        return _let(F.array(elapsed(y - 1), elapsed(y), elapsed(y + 1)), delayed)
+
+    def months(y: Column, days: Column) -> Column:
+        second = F.when(days % 10 == 5, 30).otherwise(29)
+        third = F.when(days % 10 == 3, 29).otherwise(30)
+        rest = (30, 29, 30, 29, 30, 29)
+        return F.when((7 * y + 1) % 19 < 7, _months(30, second, third, 29, 30, 30, 29, *rest)).otherwise(_months(30, second, third, 29, 30, 29, *rest))
+
+    return _by_year_starts(jdn(d), start, F.floor((jdn(d) - 347_998) / 365.2468) + 1, months)
+
+
+def persian(d: Column) -> Column:
+    """The Solar Hijri calendar by the arithmetic of cycles of 2820 years."""
+
+    def start(y: Column) -> Column:
+        cycle = 474 + _mod(y - 474, 2820)
+        return 1_948_321 + _div(682 * cycle - 110, 2816) + 365 * (cycle - 1) + 1_029_983 * _div(y - 474, 2820)
+
+    def months(y: Column, days: Column) -> Column:
+        return _months(*[31] * 6, *[30] * 5, F.when(days == 366, 30).otherwise(29))
+
+    return _by_year_starts(jdn(d), start, F.floor((jdn(d) - 1_948_321) / 365.2422) + 1, months)
+
+
+def french_republican(d: Column) -> Column:
+    """The French Republican calendar: twelve months of thirty days and the days that follow them, as a thirteenth."""
+    return _thirteen_months(d, 2_375_840)
+
+
+# Texts
+
+
+def parse_instant(s: Column) -> Column:
+    """An instant of ISO 8601 text (a date, with or without time, fraction and offset; a week date; a day of a year) or
+    of an RFC 1123 date; null where it is none. Without an offset the session's zone holds."""
+    week = r"^(\d{4})-?W(\d{2})-?([1-7])$"
+    ordinal_day = r"^(\d{4})-(\d{3})$"
+    part = lambda p, i: F.regexp_extract(s, p, i).try_cast("int")
+    by_week = F.when(s.rlike(week), iso_week_date(part(week, 1), part(week, 2), part(week, 3)))
+    by_day = F.when(s.rlike(ordinal_day), F.date_add(F.make_date(part(ordinal_day, 1), F.lit(1), F.lit(1)), part(ordinal_day, 2) - 1))
+    # Spark's parser for week days in text is the old one; the day of the week says nothing new.
+    http = F.try_to_timestamp(F.regexp_replace(s, r"^[A-Z][a-z]{2}, | GMT$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    plain = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.try_cast("timestamp"))
+    basic = F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd")))
+    return F.coalesce(by_week.cast("timestamp"), by_day.cast("timestamp"), plain, basic, F.when(s.rlike("^[A-Z][a-z]{2}, "), http))
+
+
+#: How dates and times of day are written in several places.
+DATE_FORMATS = {"european": "dd.MM.yyyy", "american": "MM/dd/yyyy", "british": "dd/MM/yyyy", "south_east_asian": "dd-MM-yyyy", "iso": "yyyy-MM-dd"}
+TIME_FORMATS = {"military": "HHmm", "civilian": "h:mm a", "french": "HH'h'mm", "iso": "HH:mm:ss", "railway": "HH:mm", "ledger": "HH.mm"}
+
+# The names of months and weekdays, from January and from Monday.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+WEEKDAYS = {
+    "en": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split(),
+    "fr": "lundi mardi mercredi jeudi vendredi samedi dimanche".split(),
+    "de": "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag".split(),
+    "es": "lunes martes miércoles jueves viernes sábado domingo".split(),
+}
+
+
+def month_name(d: Column, language: str = "en") -> Column:
+    return F.get(F.array(*map(F.lit, MONTHS[language])), F.month(d) - 1)
+
+
+def weekday_name(d: Column, language: str = "en") -> Column:
+    return F.get(F.array(*map(F.lit, WEEKDAYS[language])), F.weekday(d))
+
+
+def rule_parts(text: str) -> dict:
+    """The arguments of ``rule`` that the text of a recurrence rule names, such as ``FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,FR``."""
+    days = {name: i for i, name in enumerate("MO TU WE TH FR SA SU".split())}
+    parts = dict(p.split("=", 1) for p in text.removeprefix("RRULE:").split(";") if p)
+    out: dict = {"freq": parts["FREQ"]}
+    if "INTERVAL" in parts:
+        out["interval"] = int(parts["INTERVAL"])
+    if "COUNT" in parts:
+        out["count"] = int(parts["COUNT"])
+    for name, key in (("BYMONTH", "by_month"), ("BYMONTHDAY", "by_month_day"), ("BYSETPOS", "by_set_pos")):
+        if name in parts:
+            out[key] = tuple(map(int, parts[name].split(",")))
+    if "BYDAY" in parts:
+        out["by_day"] = tuple(days[d] for d in parts["BYDAY"].split(","))
+    return out
+
+
+def from_tai(t: Column) -> Column:
+    """The instant of one on the TAI timeline."""
+    # Seconds of TAI from which each offset holds.
+    later = F.filter(F.array(*[F.lit(x).cast("timestamp") for x in LEAP_DAYS]), lambda x: to_tai(x) <= t)
+    return F.timestamp_seconds(F.unix_seconds(t) - 10 - F.size(later))

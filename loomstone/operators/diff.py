@@ -115,3 +115,62 @@ def evolve(versions: DataFrame, key: str, version: str, line: str) -> DataFrame:
 def version_of(evolved: DataFrame, version: int) -> DataFrame:
     """The lines that a version has."""
     return evolved.filter(F.array_contains("versions", version))
+
+
+def substitutions(script: Column, most: int) -> Column:
+    """The script with deleted and inserted values at most ``most`` edits apart paired as ``sub``, in order, within each
+    run of changes; a ``sub`` has both places and the new value."""
+
+    @pandas_udf(SCRIPT)
+    def pair(scripts: pd.Series) -> pd.Series:
+        return scripts.map(lambda s: _paired([e if isinstance(e, dict) else e.asDict() for e in s], most), na_action="ignore")
+
+    return pair(script)
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _paired(script: list[dict], most: int) -> list[dict]:
+    out: list[dict] = []
+    gone: list[dict] = []
+    come: list[dict] = []
+
+    def close() -> None:
+        i = j = 0
+        while i < len(gone) and j < len(come):
+            if _edits(gone[i]["value"], come[j]["value"]) <= most:
+                out.append({"op": "sub", "left": gone[i]["left"], "right": come[j]["right"], "value": come[j]["value"]})
+                i, j = i + 1, j + 1
+            elif len(gone) - i >= len(come) - j:
+                out.append(gone[i])
+                i += 1
+            else:
+                out.append(come[j])
+                j += 1
+        out.extend(gone[i:] + come[j:])
+        gone.clear()
+        come.clear()
+
+    for e in script:
+        if e["op"] == "keep":
+            close()
+            out.append(e)
+        else:
+            (gone if e["op"] == "del" else come).append(e)
+    close()
+    return out
+
+
+def parse_unified(text: Column) -> Column:
+    """The script of lines that begin with a space, a minus or a plus, without places."""
+    op = lambda line: F.when(line.startswith("-"), "del").when(line.startswith("+"), "ins").otherwise("keep")
+    nowhere = F.lit(None).cast("int")
+    edit = lambda line: F.struct(op(line).alias("op"), nowhere.alias("left"), nowhere.alias("right"), F.substring(line, F.lit(2), F.length(line)).alias("value"))
+    return F.when(text == "", F.array().cast("array<struct<op:string,left:int,right:int,value:string>>")).otherwise(F.transform(F.split(text, "\n", -1), edit))

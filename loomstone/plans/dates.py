@@ -157,6 +157,7 @@ def calendars(spark, sf_dir):
     """Order dates in other calendars; tests hold them against known days."""
     d = F.col("d")
     others = {"julian": D.julian(d), "coptic": D.coptic(d), "ethiopian": D.ethiopian(d), "islamic": D.islamic(d), "indian": D.indian(d)}
+    others |= {"hebrew": D.hebrew(d), "persian": D.persian(d), "republican": D.french_republican(d)}
     show = lambda s: F.concat_ws("-", s["year"], s["month"], s["day"])
     years = [D.buddhist_year(d).alias("buddhist"), D.minguo_year(d).alias("minguo")]
     return _days(spark, sf_dir).select("o_orderkey", *[show(c).alias(n) for n, c in others.items()], *years)

@@ -120,3 +120,9 @@ def to_line(cells: Column, format: Format = CSV) -> Column:
 def write(df: DataFrame, path: str, format: Format = CSV_WITH_HEADER, mode: str = "error") -> None:
     """Write as delimited text, quoting only the cells that need it."""
     df.write.mode(mode).options(sep=format.delimiter, header=format.header, quote=format.quote, escape=format.quote, emptyValue="").csv(path)
+
+
+def update(df: DataFrame, heading: str, f: Callable[[Column], Column], where: Column | None = None) -> DataFrame:
+    """The rows with one cell changed in all of them, or in those that satisfy ``where``."""
+    old = F.col(f"`{heading}`")
+    return df.withColumn(heading, f(old) if where is None else F.when(where, f(old)).otherwise(old))
