@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: At most so many bytes of terms go to every task.
 MOST_BYTES = 64 << 20
@@ -42,8 +43,8 @@ def multi_search(df: DataFrame, text: str, terms: list[str], out: str = "found")
             column = batch.column(names.index(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hits(t) for t in column.to_pylist()], kind)], names=[*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(work, f"{schema}, `{out}` array<struct<start:int,stop:int,term:string>>")
+    hit = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("term", T.StringType())])
+    return kept.mapInArrow(work, T.StructType([*kept.schema, T.StructField(out, T.ArrayType(hit))]))
 
 
 def trie_lookup(df: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:

@@ -56,7 +56,7 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: Names, right_order:
 def weave(left: DataFrame, right: DataFrame, left_order: Names, right_order: Names, out: str = "index") -> DataFrame:
     """The rows of two tables with the same columns in turn, to the length of the shorter, with their place."""
     a, b = indexed(left, left_order, out=out), indexed(right, right_order, out=out)
-    n = a.agg(F.count("*").alias("n")).crossJoin(b.agg(F.count("*").alias("m"))).select(F.least("n", "m").alias("n"))
+    n = a.agg(F.count("*").alias("n")).unionAll(b.agg(F.count("*").alias("n"))).agg(F.min("n").alias("n"))
     both = a.withColumn(out, 2 * F.col(out)).unionByName(b.withColumn(out, 2 * F.col(out) + 1))
     size = _fresh(both, "n_")
     return both.join(F.broadcast(n.withColumnRenamed("n", size)), F.col(out) < 2 * F.col(size)).drop(size)

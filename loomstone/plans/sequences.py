@@ -238,7 +238,7 @@ def array_slices(spark, sf_dir):
 @_R.add(
     "q_array_search",
     f"""{_A}, u AS (SELECT *, list_position(list_transform(a, lambda x: x > 40), true) AS k FROM t)
-    SELECT p_brand, k - 1 AS place, a[k]::BIGINT AS first, len(list_filter(a, lambda x: x > 40))::BIGINT AS n,
+    SELECT p_brand, (k - 1)::BIGINT AS place, a[k]::BIGINT AS first, len(list_filter(a, lambda x: x > 40))::BIGINT AS n,
            {_S.format('CASE WHEN k IS NULL THEN a ELSE a[1:k - 1] END')} AS leading, {_S.format('CASE WHEN k IS NULL THEN [] ELSE a[k:] END')} AS rest
     FROM u""",
 )
