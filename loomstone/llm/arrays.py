@@ -93,7 +93,7 @@ def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return shift + np.arange(total, dtype=np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Parts of ``batch`` of about ``most_bytes`` of text each; a longer text is a part by itself."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     ends, at = np.cumsum(sizes), 0
