@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.llm.arrays import slices
 from loomstone.llm.chunks import ChunkEncoder
@@ -168,10 +169,6 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (array of int), the ids of each whole text, and, if named, ``decoded``, what they decode to.
 
@@ -195,7 +192,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*names, ids, *([decoded] if decoded else [])])
 
     rows = kept.select(*[quoted(c) for c in names], quoted(text).cast("string").alias(body))
-    return rows.mapInArrow(work, f"{_schema(kept)}, `{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return rows.mapInArrow(work, T.StructType([*kept.schema, *made]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -215,4 +213,4 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, decoded])
 
     rows = kept.select(*[quoted(c) for c in names], F.col(f"`{ids}`").cast("array<int>").alias(own))
-    return rows.mapInArrow(work, f"{_schema(kept)}, `{decoded}` string")
+    return rows.mapInArrow(work, T.StructType([*kept.schema, T.StructField(decoded, T.StringType())]))

@@ -98,7 +98,7 @@ def with_next(docs: DataFrame, order: str, carry: str, out: str, buckets: int |
     o, b, ghost, tie, to = fresh(docs, "order_", "bucket_", "ghost_", "tie_", "to_")
     known = quoted(order).cast("long")
     shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    found = docs.agg(F.percentile_approx(known, shares, 100 * buckets).alias("c"), F.min(known).alias("least")).first()
+    found = docs.agg(F.percentile_approx(known, shares, 10 * buckets).alias("c"), F.min(known).alias("least")).first()
     value = F.coalesce(known, F.lit((found.least or 0) - 1).cast("long"))
     keys = [value.alias(o), _bucket(value, sorted(set(found.c or []))).alias(b), F.xxhash64(quoted(carry)).alias(tie)]
     # One row per bucket: where a copy of its highest row goes.

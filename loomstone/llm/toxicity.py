@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.llm.arrays import mix, slices
 from loomstone.llm.common import fresh, quoted
@@ -200,8 +201,8 @@ def add_scores(docs: DataFrame, model: Model, text: str = "text", out: str = "sc
                 scores = pa.array(shared.value.scores(part.column(body)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], names=[*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.select(*[quoted(c) for c in names], quoted(text).cast("string").alias(body)).mapInArrow(work, f"{schema}, `{out}` double")
+    rows = kept.select(*[quoted(c) for c in names], quoted(text).cast("string").alias(body))
+    return rows.mapInArrow(work, T.StructType([*kept.schema, T.StructField(out, T.DoubleType())]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
