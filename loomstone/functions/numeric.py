@@ -300,6 +300,7 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pmod(F.degrees(angle), F.lit(360.0))
 
 
+# The sixteen points of the compass from north, clockwise.
 _COMPASS = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
 
 
@@ -309,6 +310,7 @@ def compass(degrees: Column, n: int = 16) -> Column:
     return F.get(names, F.pmod(F.floor(degrees / (360 / n) + 0.5), F.lit(n)).cast("int"))
 
 
+# The letters of geohashes in their order.
 _GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
