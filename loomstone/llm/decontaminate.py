@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.llm.arrays import SpanHasher, combine, lowered, ranges, slices, text_bytes, word_spans
 from loomstone.llm.common import fresh, quoted
@@ -120,7 +121,7 @@ def _count_shingles(docs: DataFrame, block) -> dict[int, np.ndarray]:
     return counts
 
 
-HITS = "n_words long, items array<long>, begins array<long>, ends array<long>"
+HITS = ("n_words", "items", "begins", "ends")
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,52 +134,69 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin[new], reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(begin) - 1]))]
 
 
+def _found(column: pa.Array, b: Block, prefixes: dict) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts, and every occurrence of a window in them: text, window, first word; by text."""
+    words = Words(column)
+    docs_, wins_, begins_ = [], [], []
+    for width, (hashes, owner, place) in prefixes.items():
+        found, at = words.shingles(width)
+        values, firsts, repeats = np.unique(hashes, return_index=True, return_counts=True)
+        hit, which = _member(values, found)
+        many = repeats[which]
+        entry = ranges(firsts[which], many)
+        window, begin = owner[entry], np.repeat(at[hit], many) - place[entry]
+        doc = np.searchsorted(words.first, np.repeat(at[hit], many), "right") - 1
+        fits = (begin >= words.first[doc]) & (begin + b.size[window] <= words.first[doc + 1])
+        same = [
+            k for k in np.flatnonzero(fits).tolist() if b" ".join(words.words(int(begin[k]), int(b.size[window[k]]))) == b.text[window[k]]
+        ]
+        docs_.append(doc[same])
+        wins_.append(window[same])
+        begins_.append(begin[same])
+    doc, win, begin = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs_, wins_, begins_))
+    order = np.argsort(doc, kind="stable")
+    return words, doc[order], win[order], begin[order] - words.first[doc[order]]
+
+
 def _hits(docs: DataFrame, block, prefixes) -> DataFrame:
-    """docs' other columns with, per row, the number of words, the items found and the spans of words hit."""
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    """(id, n_words, items, begins, ends) per row of (id, text): words, items found, and spans of words hit."""
+    longs, kind = pa.list_(pa.int64()), docs.schema["id"]
+    names = ["id", *HITS]
 
     def part_hits(part: pa.RecordBatch) -> pa.RecordBatch:
-        b, words = block.value, Words(part.column("text"))
-        n = part.num_rows
-        docs_, wins_, begins_ = [], [], []
-        for width, (hashes, owner, place) in prefixes.value.items():
-            found, at = words.shingles(width)
-            values, firsts, repeats = np.unique(hashes, return_index=True, return_counts=True)
-            hit, which = _member(values, found)
-            many = repeats[which]
-            entry = ranges(firsts[which], many)
-            window, begin = owner[entry], np.repeat(at[hit], many) - place[entry]
-            doc = np.searchsorted(words.first, np.repeat(at[hit], many), "right") - 1
-            fits = (begin >= words.first[doc]) & (begin + b.size[window] <= words.first[doc + 1])
-            same = [
-                k for k in np.flatnonzero(fits).tolist() if b" ".join(words.words(int(begin[k]), int(b.size[window[k]]))) == b.text[window[k]]
-            ]
-            docs_.append(doc[same])
-            wins_.append(window[same])
-            begins_.append(begin[same])
-        doc, win, begin = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs_, wins_, begins_))
-        order = np.argsort(doc, kind="stable")
-        doc, win, begin = doc[order], win[order], begin[order] - words.first[doc[order]]
-        bounds = np.searchsorted(doc, np.arange(n + 1))
+        b = block.value
+        words, doc, win, begin = _found(part.column("text"), b, prefixes.value)
+        bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
         items, los, his = [], [], []
-        for k in range(n):
-            s = slice(bounds[k], bounds[k + 1])
-            if s.start == s.stop:
-                items.append([]), los.append([]), his.append([])
-                continue
-            lo, hi = _merged(begin[s], begin[s] + b.size[win[s]])
-            items.append([b.ids[i] for i in np.unique(b.item[win[s]]).tolist()]), los.append(lo.tolist()), his.append(hi.tolist())
-        longs = pa.list_(pa.int64())
-        new = [pa.array(np.diff(words.first).astype(np.int64)), pa.array(items, longs), pa.array(los, longs), pa.array(his, longs)]
-        return pa.RecordBatch.from_arrays([part.column(c) for c in others] + new, names=[*others, "n_words", "items", "begins", "ends"])
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            lo, hi = _merged(begin[a:z], begin[a:z] + b.size[win[a:z]])
+            items.append([b.ids[i] for i in np.unique(b.item[win[a:z]]).tolist()])
+            los.append(lo.tolist())
+            his.append(hi.tolist())
+        n_words = pa.array(np.diff(words.first).astype(np.int64))
+        return pa.RecordBatch.from_arrays([part.column("id"), n_words, *[pa.array(x, longs) for x in (items, los, his)]], names=names)
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield part_hits(part)
 
-    return docs.mapInArrow(work, f"{schema}, {HITS}")
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in HITS[1:]]
+    return docs.select("id", "text").mapInArrow(work, T.StructType([kind, T.StructField(HITS[0], T.LongType()), *lists]))
+
+
+def _only_clean(docs: DataFrame, body: str, block, prefixes) -> DataFrame:
+    """The rows whose text, in the column ``body``, holds no window of the block."""
+
+    def work(batches):
+        for batch in batches:
+            for part in slices(batch, body):
+                _, doc, _, _ = _found(part.column(body), block.value, prefixes.value)
+                clean = np.ones(part.num_rows, bool)
+                clean[doc] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def _blocks(benchmark: DataFrame, text: str, item_id: str):
@@ -235,8 +253,19 @@ def _merge_blocks(frames):
         yield frame.assign(begins=pd.Series([s[0] for s in spans], dtype=object), ends=pd.Series([s[1] for s in spans], dtype=object))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs; null texts stay."""
-    id_, = fresh(docs, "id_")
-    bad = contamination(docs, benchmark, text=text, doc_id=doc_id).filter("n_hit > 0").select(quoted(doc_id).alias(id_)).distinct()
-    return docs.join(bad, quoted(doc_id).eqNullSafe(F.col(id_)), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id"
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs.
+
+    Block by block, each row is looked at where it lies; nothing is joined or moved. Null and empty texts stay.
+    """
+    spark, original = docs.sparkSession, docs.columns
+    body, = fresh(docs, "text_")
+    rows = docs.withColumn(body, quoted(text).cast("string"))
+    texts = rows.select(quoted(body).alias("text"))
+    for ids, items in _blocks(benchmark, item_text, item_id):
+        block = spark.sparkContext.broadcast(Block(ids, pa.array(items, pa.string()), WINDOW, SHINGLE))
+        prefixes = spark.sparkContext.broadcast(block.value.prefixes(_count_shingles(texts, block)))
+        rows = _only_clean(rows, body, block, prefixes)
+    return rows.select(*[quoted(c) for c in original])
