@@ -63,7 +63,10 @@ def _lengths(text: Column, rule: Rule) -> Column:
 
 
 def find_spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, spans) of rows (blob, text, todo): what the rules named in ``todo`` find, start and end in code points."""
+    """(blob, spans) of rows (blob, text, todo): what the rules named in ``todo`` find, start and end in code points.
+
+    Rows that repeat a blob count once.
+    """
     each = F.array(
         *[
             F.struct(
@@ -78,6 +81,7 @@ def find_spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return (
         texts.select("blob", F.explode(each).alias("x"))
         .select("blob", "x.rank", F.posexplode("x.found").alias("k", "m"))
+        .dropDuplicates(["blob", "rank", "k"])
         .withColumn("start", F.sum("m.before").over(w) + F.sum("m.own").over(w) - F.col("m.own"))
         .filter(F.col("m.judged") >= named([r.least for r in rules]))
         .select(
