@@ -228,5 +228,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    predicted, score = "predicted", "score"
-    return score_toxicity(docs, labels, text, doc_id).filter(F.col(predicted) == 0).select(*[quoted(c) for c in docs.columns if c not in (score,)])
+    score, = fresh(docs, "score_")
+    scored = add_scores(docs, train(labelled(docs, labels, text, doc_id)), text, score)
+    return scored.filter(F.col(score) < THRESHOLD).select(*[quoted(c) for c in docs.columns])

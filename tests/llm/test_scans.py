@@ -143,6 +143,15 @@ def test_toxicity_of_odd_rows(spark):
     assert T.score_toxicity(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_dropping_keeps_all_columns(spark):
+    docs, labels = labelled_corpus(400)
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, score double").withColumn("score_", F.lit(1))
+    kept = T.drop_toxic(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows, truth = kept.collect(), dict(labels)
+    assert kept.columns == d.columns and all(r.score == 1.5 for r in rows)
+    assert sum(truth[r.doc_id] for r in rows) <= 3 and len(rows) > 280
+
+
 def test_counting_agrees_with_sets():
     texts = ["abcabc", None, "ABCabd", "é日本語é日本語", "ab"]
     import numpy as np
