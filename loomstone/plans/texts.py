@@ -268,6 +268,6 @@ def bloom(spark, sf_dir):
 
 @_R.add("q_graphemes")
 def graphemes(spark, sf_dir):
-    """Perceived characters and terminal columns of the first line; SQL has neither."""
-    line = F.get(X.lines(F.col("text")), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.graphemes(line)).alias("n"), X.display_width(line).alias("width"))
+    """Perceived characters and terminal columns of each text; SQL has neither."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.graphemes(t)).alias("n"), X.display_width(t).alias("width"))
