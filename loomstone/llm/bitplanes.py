@@ -16,6 +16,7 @@ of each compressed plane.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.arrays import slices
+from loomstone.llm.arrays import ranges, slices
 from loomstone.llm.chunks import ChunkEncoder
 from loomstone.llm.common import quoted
 
 #: Ids in a block; id 2 ends a document.
 BLOCK_IDS, END_ID = 65_536, 2
-#: Bytes of text that a shard is meant to hold.
-SHARD_BYTES = 64 << 20
+#: Bytes of text that a shard is meant to hold, and that are encoded at a time.
+SHARD_BYTES, PART_BYTES = 64 << 20, 4 << 20
 
 BLOCK_SCHEMA = "shard int, block long, n_ids long, planes array<binary>, doc_ids array<long>, doc_ends array<long>"
 
@@ -81,8 +82,28 @@ def _library(path: str, drops_space: bool) -> Callable[[pa.Array], tuple[np.ndar
         sizes = np.array([len(x) for x in lists], np.int64)
         return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
 
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def words(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters are one word each, which ends where a token has the suffix: many go into one text."""
+        texts = [r.decode() for r in runs]
+        is_word = np.array([t.isalpha() for t in texts]) if suffix else np.zeros(len(texts), bool)
+        whole = [t for t, w in zip(texts, is_word.tolist(), strict=True) if w]
+        flat, _ = many(["\n".join(whole[i : i + 256]) for i in range(0, len(whole), 256)])
+        stops = np.flatnonzero(ends[flat]) + 1
+        if len(stops) != len(whole):
+            return many(texts)
+        rest, rest_sizes = many([t for t, w in zip(texts, is_word.tolist(), strict=True) if not w])
+        sizes, begin = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        sizes[is_word], sizes[~is_word] = np.diff(stops, prepend=0), rest_sizes
+        begin[is_word], begin[~is_word] = stops - sizes[is_word], len(flat) + np.cumsum(rest_sizes) - rest_sizes
+        return np.concatenate((flat, rest))[ranges(begin, sizes)], sizes
+
     if drops_space:
-        return ChunkEncoder(lambda runs: many([r.decode() for r in runs]))
+        return ChunkEncoder(words)
     return lambda column: many(column.fill_null("").to_pylist())
 
 
@@ -169,7 +190,7 @@ def write_ids(
         encode = _library(tokenizer, drops_space)
         writer = _BlockWriter(TaskContext.get().partitionId(), by, level)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 flat, sizes = encode(part.column("text"))
                 ends = np.cumsum(sizes)
                 writer.add(np.insert(flat, ends, end_id).astype(np.uint32), part.column("id").to_pylist(), sizes + 1)
