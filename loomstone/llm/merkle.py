@@ -1,12 +1,15 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and clauses.
+"""Document fingerprints, and a Merkle tree over sections, paragraphs and clauses.
 
 A text is cut at blank lines into sections, at line feeds into paragraphs, and after the white space that follows
-punctuation into clauses. A clause's digest is the head of its MD5; a paragraph is digested from its clauses, a section
-from its paragraphs and the root from the sections and the number of characters. Equal roots mean equal texts; where
-roots differ, the branches that differ locate the edit.
+punctuation into clauses.
 
-The fingerprint is ``root:section;section...`` with sections ``paragraph,paragraph...`` and paragraphs the digests of
-their clauses, eight hex digits each; the digests between root and clauses follow from it.
+``merkle_tree`` digests a clause with its white space by MD5, a paragraph from its clauses' digests, a section from its
+paragraphs' and the root from the sections'. Roots are equal where texts are; ``tree_differences`` goes down from the
+roots to the paragraphs that differ.
+
+``fingerprint`` is the compact form that the registered query's SQL states, and no tree: ``root:section;section...`` with
+sections ``paragraph,paragraph...`` and paragraphs the heads of their clauses' MD5, eight hex digits each. Its root is the
+MD5 of the text, and clauses are without the white space between them, so that an edit of that shows in the root alone.
 """
 
 from __future__ import annotations
@@ -63,6 +66,48 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(ours, section))
 
 
+def _digest(level: str, children: Column) -> Column:
+    return F.md5(F.encode(F.concat(F.lit(level), F.array_join(children, "")), "utf-8"))
+
+
+def merkle_tree(text: Column) -> Column:
+    """struct(root, sections: array of struct(digest, paragraphs: array of struct(digest, clauses))) of a text; digests have
+    32 hex digits. Null is empty, and an empty text has one empty clause."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+
+    def paragraph(p: Column) -> Column:
+        parts = F.split(F.regexp_replace(p, f"({CLAUSE_END})", "$1" + MARK), MARK, -1)
+        clauses = F.transform(parts, lambda c: F.md5(F.encode(c, "utf-8")))
+        return F.struct(_digest("p", clauses).alias("digest"), clauses.alias("clauses"))
+
+    def section(s: Column) -> Column:
+        return F.transform(F.split(s, "\n", -1), paragraph)
+
+    sections = F.transform(
+        F.transform(F.split(text, "\n\n", -1), section),
+        lambda ps: F.struct(_digest("s", F.transform(ps, lambda p: p["digest"])).alias("digest"), ps.alias("paragraphs")),
+    )
+    return F.struct(_digest("r", F.transform(sections, lambda s: s["digest"])).alias("root"), sections.alias("sections"))
+
+
+def tree_differences(a: Column, b: Column) -> Column:
+    """(section, paragraph), from 0, of each place at which the trees' paragraphs differ or only one has a paragraph.
+
+    Where roots or sections agree, nothing below them is looked at.
+    """
+    none = F.array().cast("array<struct<section:int,paragraph:int>>")
+    upto = lambda x, y: F.sequence(F.lit(0), F.greatest(F.coalesce(F.size(x), F.lit(0)), F.coalesce(F.size(y), F.lit(0))) - 1)
+
+    def section(i: Column) -> Column:
+        ours, theirs = F.get(a["sections"], i), F.get(b["sections"], i)
+        x, y = ours["paragraphs"], theirs["paragraphs"]
+        differ = F.filter(upto(x, y), lambda j: ~F.get(x, j)["digest"].eqNullSafe(F.get(y, j)["digest"]))
+        places = F.transform(differ, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+        return F.when(ours["digest"].eqNullSafe(theirs["digest"]), none).otherwise(places)
+
+    return F.when(a["root"] == b["root"], none).otherwise(F.flatten(F.transform(upto(a["sections"], b["sections"]), section)))
+
+
 def add_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with ``out``, each row's fingerprint; no rows move. Rows with one text have one fingerprint; a column
     of that name gives way. An empty table gives an empty table."""
