@@ -13,6 +13,8 @@ holds must be at least 0.8. Templates are a bounded list that goes to every task
 
 from __future__ import annotations
 
+import json
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ TEMPLATES = {
         "is furnished to do so, subject to the following conditions:"
     ),
 }
+# Notices and bodies of further common licenses, by SPDX name; bodies end in "-text" where a notice has the name.
+TEMPLATES |= json.loads(pkgutil.get_data("loomstone.llm", "licenses.json"))
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -106,6 +110,13 @@ def _windows(bounds: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
     return bounds[text] + c * ranges(np.zeros(len(counts)), counts), text
 
 
+def _over(bounds: np.ndarray, small: int, large: int) -> np.ndarray:
+    """For each window of class ``large``, the first of the windows of class ``small`` that it is made of."""
+    n = np.diff(bounds)
+    counts, first = -(-n // large), np.concatenate(([0], np.cumsum(-(-n // small))[:-1]))
+    return np.repeat(first, counts) + large // small * ranges(np.zeros(len(n)), counts)
+
+
 def find_templates(column: pa.Array, templates: Templates, banded: bool = True) -> list[tuple[int, int, float, int]]:
     """(text, template, containment, shingle at which the window begins) of the best window of each template that a text
     holds, by text and template. ``banded`` false verifies every window with every template of its class."""
@@ -116,10 +127,12 @@ def find_templates(column: pa.Array, templates: Templates, banded: bool = True)
     layout = {c: _windows(bounds, c) for c in templates.classes}
     if banded:
         paired = {c: np.append(text[1:] == text[:-1], False) for c, (_, text) in layout.items()}
+        order = [1, *(c for c in templates.classes if c > 1)]
+        over = {large: _over(bounds, small, large) for small, large in zip(order[:-1], order[1:], strict=True)}
         for band, factor in enumerate(_FACTORS):
-            values = hashes * factor
+            blocks = hashes * factor
             for c, bands in templates.classes.items():
-                blocks = values if c == 1 else np.minimum.reduceat(values, layout[c][0])
+                blocks = blocks if c == 1 else np.minimum.reduceat(blocks, over[c])
                 pairs = blocks.copy()
                 np.minimum(blocks[:-1], blocks[1:], out=pairs[:-1], where=paired[c][:-1])
                 minima, owners, seen = bands[band]
