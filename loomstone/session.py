@@ -30,9 +30,15 @@ def local_session(app: str = "loomstone", cores: str | int = "*", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset a session on one machine gets a temporary folder; on a cluster nothing else is seen by all, so
+    that it is an error.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and context.getCheckpointDir() is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomstone-"))
     return configured or context.getCheckpointDir()
