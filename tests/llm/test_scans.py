@@ -46,9 +46,11 @@ def corpus(seed):
     return list(enumerate(docs)), items
 
 
-@pytest.mark.parametrize("block", [1, 60, 4 << 20])
-def test_windows_agree_with_plain_search(spark, monkeypatch, block):
-    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("few", [0, 500_000])
+@pytest.mark.parametrize("bits", [7, 26])
+def test_windows_agree_with_plain_search(spark, monkeypatch, few, bits):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(D, "BITMAP", bits)
     docs, items = corpus(1)
     found = D.contamination(
         spark.createDataFrame([(*d, 9, 9) for d in docs], "doc_id long, text string, n_words int, id int"),
@@ -58,6 +60,28 @@ def test_windows_agree_with_plain_search(spark, monkeypatch, block):
     assert got == {i: plain_contamination(t, items) for i, t in docs}
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_repeated_and_null_ids_and_ids_of_text(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", few)
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (None, "a b c"), (None, "alpha x y z q"), (2, None), (1, "other")]
+    items = [("x", "alpha"), ("x", "y z"), (None, "a b"), ("w", "ALPHA"), ("v", None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    found = D.contamination(docs, bench).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.begins, r.ends) for r in found), key=str) == sorted(
+        [
+            (1, 2, 1, ["w", "x"], [0], [1]),
+            (1, 2, 1, ["w", "x"], [0], [1]),
+            (None, 3, 2, [None], [0], [2]),
+            (None, 5, 3, ["w", "x"], [0, 2], [1, 4]),
+            (2, 0, 0, [], [], []),
+            (1, 1, 0, [], [], []),
+        ],
+        key=str,
+    )
+    kept = D.drop_contaminated(docs.withColumn("T1_", F.lit(5)), bench)
+    assert kept.columns == ["doc_id", "text", "T1_"] and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "other", 5), (2, None, 5)], key=str)
+
+
 def test_decontamination_of_nothing_and_by_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
