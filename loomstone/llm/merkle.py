@@ -1,15 +1,12 @@
-"""Document fingerprints, and a Merkle tree over sections, paragraphs and clauses.
+"""Document fingerprints: a Merkle tree over sections and paragraphs.
 
-A text is cut at blank lines into sections, at line feeds into paragraphs, and after the white space that follows
-punctuation into clauses.
+A text is cut at blank lines into sections and at line feeds into paragraphs. A paragraph's digest is the MD5 of its text, a
+section's that of its paragraphs' digests, and the root that of its sections' digests. Cutting loses nothing, so that roots are
+equal where texts are, and going down from the roots past equal digests leads to the paragraphs that differ.
 
-``merkle_tree`` digests a clause with its white space by MD5, a paragraph from its clauses' digests, a section from its
-paragraphs' and the root from the sections'. Roots are equal where texts are; ``tree_differences`` goes down from the
-roots to the paragraphs that differ.
-
-``fingerprint`` is the compact form that the registered query's SQL states, and no tree: ``root:section;section...`` with
-sections ``paragraph,paragraph...`` and paragraphs the heads of their clauses' MD5, eight hex digits each. Its root is the
-MD5 of the text, and clauses are without the white space between them, so that an edit of that shows in the root alone.
+A fingerprint is ``root:section;section...`` with sections ``digest/paragraph,paragraph...`` and paragraphs ``digest.marks``.
+Marks say how alike two paragraphs are: the heads of the MD5 of the paragraph's clauses, eight hex digits each, where a
+clause ends after the white space that follows punctuation.
 """
 
 from __future__ import annotations
@@ -20,92 +17,75 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import fresh, quoted
 
 #: After one of these and white space a clause ends.
-CLAUSE_END, MARK = r"([.!?,;:|&$%*#])[ \t]+", "\x01"
+CLAUSE_END, MARK = r"([.!?,;:|&$%*#][ \t]+)", "\x01"
 DIGITS = 8
 
-
-def _clauses(paragraph: Column) -> Column:
-    parts = F.split(F.regexp_replace(paragraph, CLAUSE_END, "$1" + MARK), MARK, -1)
-    return F.array_join(F.transform(parts, lambda c: F.left(F.md5(F.encode(c, "utf-8")), F.lit(DIGITS))), "")
-
-
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text; null is empty, and an empty text has one empty clause."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    section = lambda s: F.array_join(F.transform(F.split(s, "\n", -1), _clauses), ",")
-    tree = F.array_join(F.transform(F.split(text, "\n\n", -1), section), ";")
-    return F.concat(F.md5(F.encode(text, "utf-8")), F.lit(":"), tree)
-
-
-def _leaves(print_: Column) -> Column:
-    """The distinct digests of a fingerprint's clauses."""
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0)))
+_PLACE = "array<struct<section:int,paragraph:int>>"
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 where the roots are equal; else the distinct clauses that both have, over those of the one that has more."""
-    x, y = _leaves(a), _leaves(b)
-    shared = F.size(F.array_intersect(x, y)).cast("double")
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(shared / F.greatest(F.size(x), F.size(y)))
+def _md5(text: Column) -> Column:
+    return F.md5(F.encode(text, "utf-8"))
 
 
-def differing_paragraphs(a: Column, b: Column) -> Column:
-    """(section, paragraph), from 0, of each paragraph of ``a`` that ``b`` does not have at that place.
+def _heads(children: Column) -> Column:
+    """The digests with which children begin, one after the other."""
+    return F.array_join(F.transform(children, lambda c: F.left(c, F.lit(32))), "")
 
-    Sections whose digests agree are passed over whole.
-    """
-    tree = lambda p: F.split(F.substring_index(p, ":", -1), ";")
-    ours, theirs = tree(a), tree(b)
 
-    def section(s: Column, i: Column) -> Column:
-        other = F.split(F.coalesce(F.get(theirs, i), F.lit("")), ",")
-        places = F.transform(F.split(s, ","), lambda p, j: F.when(~p.eqNullSafe(F.get(other, j)), F.struct(i.alias("section"), j.alias("paragraph"))))
-        same = s.eqNullSafe(F.get(theirs, i))
-        return F.when(same, F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.filter(places, lambda p: p.isNotNull()))
+def _paragraph(text: Column) -> Column:
+    clauses = F.split(F.regexp_replace(text, CLAUSE_END, "$1" + MARK), MARK, -1)
+    return F.concat(_md5(text), F.lit("."), F.array_join(F.transform(clauses, lambda c: F.left(_md5(c), F.lit(DIGITS))), ""))
 
-    return F.flatten(F.transform(ours, section))
 
+def fingerprint(text: Column) -> Column:
+    """The fingerprint of a text; null is empty, and an empty text has one empty paragraph."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    # A level is an array of one, so that what it holds is computed once and used twice.
+    over = lambda children, sep, end: F.transform(
+        F.array(children), lambda c: F.concat(_md5(_heads(c)), F.lit(end), F.array_join(c, sep))
+    )[0]
+    section = lambda s: over(F.transform(F.split(s, "\n", -1), _paragraph), ",", "/")
+    return over(F.transform(F.split(text, "\n\n", -1), section), ";", ":")
 
-def _digest(level: str, children: Column) -> Column:
-    return F.md5(F.encode(F.concat(F.lit(level), F.array_join(children, "")), "utf-8"))
 
+def root(print_: Column) -> Column:
+    """The root of a fingerprint."""
+    return F.left(print_, F.lit(32))
 
-def merkle_tree(text: Column) -> Column:
-    """struct(root, sections: array of struct(digest, paragraphs: array of struct(digest, clauses))) of a text; digests have
-    32 hex digits. Null is empty, and an empty text has one empty clause."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
 
-    def paragraph(p: Column) -> Column:
-        parts = F.split(F.regexp_replace(p, f"({CLAUSE_END})", "$1" + MARK), MARK, -1)
-        clauses = F.transform(parts, lambda c: F.md5(F.encode(c, "utf-8")))
-        return F.struct(_digest("p", clauses).alias("digest"), clauses.alias("clauses"))
+def _marks(print_: Column) -> Column:
+    """The distinct marks of a fingerprint: after each point, what goes on to the next paragraph or section."""
+    each = F.regexp_replace(F.regexp_replace(print_, r"^[0-9a-f]{32}:", ";"), r"[;,](?:[0-9a-f]{32}/)?[0-9a-f]{32}\.", "")
+    return F.array_distinct(F.regexp_extract_all(each, F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0)))
 
-    def section(s: Column) -> Column:
-        return F.transform(F.split(s, "\n", -1), paragraph)
 
-    sections = F.transform(
-        F.transform(F.split(text, "\n\n", -1), section),
-        lambda ps: F.struct(_digest("s", F.transform(ps, lambda p: p["digest"])).alias("digest"), ps.alias("paragraphs")),
-    )
-    return F.struct(_digest("r", F.transform(sections, lambda s: s["digest"])).alias("root"), sections.alias("sections"))
+def likeness(a: Column, b: Column) -> Column:
+    """1 where the roots are equal; else less: the distinct marks that both have, over one more than those of the one that has
+    more. The one more is the root."""
+    x, y = _marks(a), _marks(b)
+    shared = F.size(F.array_intersect(x, y)).cast("double")
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(shared / (F.greatest(F.size(x), F.size(y)) + 1))
 
 
-def tree_differences(a: Column, b: Column) -> Column:
-    """(section, paragraph), from 0, of each place at which the trees' paragraphs differ or only one has a paragraph.
+def differing_paragraphs(a: Column, b: Column) -> Column:
+    """(section, paragraph), from 0, of each place at which the paragraphs of two fingerprints differ or only one has one.
 
-    Where roots or sections agree, nothing below them is looked at.
+    From the top down: where roots or sections agree, nothing below them is looked at.
     """
-    none = F.array().cast("array<struct<section:int,paragraph:int>>")
-    upto = lambda x, y: F.sequence(F.lit(0), F.greatest(F.coalesce(F.size(x), F.lit(0)), F.coalesce(F.size(y), F.lit(0))) - 1)
+    tree = lambda p: F.split(F.substr(p, F.lit(34)), ";", -1)
+    ours, theirs = tree(a), tree(b)
+    head = lambda node: F.left(node, F.lit(32))
+    paragraphs = lambda s: F.coalesce(F.split(F.substr(s, F.lit(34)), ",", -1), F.array().cast("array<string>"))
+    places = lambda x, y: F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
 
     def section(i: Column) -> Column:
-        ours, theirs = F.get(a["sections"], i), F.get(b["sections"], i)
-        x, y = ours["paragraphs"], theirs["paragraphs"]
-        differ = F.filter(upto(x, y), lambda j: ~F.get(x, j)["digest"].eqNullSafe(F.get(y, j)["digest"]))
-        places = F.transform(differ, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
-        return F.when(ours["digest"].eqNullSafe(theirs["digest"]), none).otherwise(places)
+        x, y = F.get(ours, i), F.get(theirs, i)
+        p, q = paragraphs(x), paragraphs(y)
+        differ = F.filter(places(p, q), lambda j: ~head(F.get(p, j)).eqNullSafe(head(F.get(q, j))))
+        found = F.transform(differ, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+        return F.when(head(x).eqNullSafe(head(y)), F.array().cast(_PLACE)).otherwise(found)
 
-    return F.when(a["root"] == b["root"], none).otherwise(F.flatten(F.transform(upto(a["sections"], b["sections"]), section)))
+    return F.when(root(a) == root(b), F.array().cast(_PLACE)).otherwise(F.flatten(F.transform(places(ours, theirs), section)))
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:

@@ -105,21 +105,27 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _print_sql(x: str) -> str:
-    clauses = r"string_split(regexp_replace(p, '([.!?,;:|&$%*#])[ \t]+', '\1' || chr(1), 'g'), chr(1))"
-    paragraph = f"array_to_string(list_transform({clauses}, lambda c: left(md5(c), 8)), '')"
-    section = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: {paragraph}), ',')"
-    return f"md5({x}) || ':' || array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: {section}), ';')"
+    clauses = r"string_split(regexp_replace(p, '([.!?,;:|&$%*#][ \t]+)', '\1' || chr(1), 'g'), chr(1))"
+    paragraph = f"md5(p) || '.' || array_to_string(list_transform({clauses}, lambda c: left(md5(c), 8)), '')"
 
+    def over(children: str, sep: str, end: str) -> str:
+        heads = "array_to_string(list_transform(l, lambda h: left(h, 32)), '')"
+        return f"list_transform([{children}], lambda l: md5({heads}) || '{end}' || array_to_string(l, '{sep}'))[1]"
 
-def _leaves_sql(p: str) -> str:
-    return f"list_distinct(regexp_extract_all(split_part({p}, ':', 2), '[0-9a-f]{{8}}'))"
+    section = over(f"list_transform(string_split(s, chr(10)), lambda p: {paragraph})", ",", "/")
+    return over(f"list_transform(string_split({x}, chr(10) || chr(10)), lambda s: {section})", ";", ":")
+
+
+def _marks_sql(p: str) -> str:
+    each = f"regexp_replace(regexp_replace({p}, '^[0-9a-f]{{32}}:', ';'), '[;,](?:[0-9a-f]{{32}}/)?[0-9a-f]{{32}}\\.', '', 'g')"
+    return f"list_distinct(regexp_extract_all({each}, '[0-9a-f]{{8}}'))"
 
 
 def _likeness_sql(a: str, b: str) -> str:
-    x, y = _leaves_sql(a), _leaves_sql(b)
+    x, y = _marks_sql(a), _marks_sql(b)
     return (
-        f"CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0::DOUBLE"
-        f" ELSE len(list_intersect({x}, {y}))::DOUBLE / greatest(len({x}), len({y})) END"
+        f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0::DOUBLE"
+        f" ELSE len(list_intersect({x}, {y}))::DOUBLE / (greatest(len({x}), len({y})) + 1) END"
     )
 
 

@@ -1,6 +1,5 @@
 """Line dedup, Merkle fingerprints and the order of documents, against plain versions."""
 
-import hashlib
 import re
 from collections import Counter
 
@@ -8,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm.line_dedup import dedup_lines
-from loomstone.llm.merkle import add_fingerprints, differing_paragraphs, fingerprint, likeness, with_next
+from loomstone.llm.merkle import fingerprint, with_next
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -64,21 +63,6 @@ def test_dedup_of_an_empty_table(spark):
     assert dedup_lines(docs).count() == 0
 
 
-def test_fingerprints_of_equal_texts_are_equal_and_edits_are_near(spark):
-    one = "First part. Second part, third.\nAnother line; more.\n\nNew section. End."
-    texts = [one, one, one.replace("Another", "Changed"), "", None, "nothing alike here"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    prints = {r.doc_id: r.fingerprint for r in add_fingerprints(docs).collect()}
-    assert prints[0] == prints[1] != prints[2]
-    assert prints[3] == prints[4]
-    assert prints[0].split(":")[0] == hashlib.md5(one.encode()).hexdigest()
-    pairs = spark.createDataFrame([(prints[a], prints[b]) for a, b in ((0, 1), (0, 2), (0, 5), (3, 4), (3, 0))], "a string, b string")
-    same, edited, other, empty, to_empty = [r[0] for r in pairs.select(likeness(F.col("a"), F.col("b"))).collect()]
-    assert same == 1 and empty == 1 and 0.5 < edited < 1 and other == 0 and to_empty == 0
-    places = pairs.select(differing_paragraphs(F.col("a"), F.col("b"))).collect()
-    assert places[0][0] == [] and [tuple(p) for p in places[1][0]] == [(0, 1)]
-
-
 @pytest.mark.parametrize("buckets", [1, 2, 7, 40])
 def test_with_next_agrees_with_plain_order(spark, buckets):
     ids = [5, 9, -3, 12, 7, 100, 55, 8, 41, 2]
