@@ -29,12 +29,16 @@ def _keys(text: Column) -> Column:
 
 
 def frequent_keys(texts: DataFrame, text: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(h1, h2, n_docs) of each line key with at least ``min_chars`` code points in at least ``min_docs`` rows."""
+    """(h1, h2, n_docs) of each line key with at least ``min_chars`` code points that rows of at least ``min_docs`` ids have.
+
+    Keys and ids meet first, so that a very common key is dealt by its documents; then documents are counted.
+    """
     h1, h2 = wide_hash(F.col("key"))
     return (
-        texts.select(F.explode(F.array_distinct(_keys(F.col(text)))).alias("key"))
+        texts.select("id", F.explode(F.array_distinct(_keys(F.col(text)))).alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select(h1.alias("h1"), h2.alias("h2"))
+        .groupBy(h1.alias("h1"), h2.alias("h2"), "id")
+        .agg(F.lit(0).alias("x"))
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"))
         .filter(F.col("n_docs") >= min_docs)
@@ -48,6 +52,7 @@ def _only_frequent(lines: DataFrame, frequent: DataFrame) -> DataFrame:
         return lines.join(F.broadcast(keys), ["h1", "h2"], "left_semi")
     hot = frequent.filter(F.col("n_docs") >= HOT_DOCS).select("h1", "h2")
     if hot.count() > BROADCAST_KEYS:
+        # The keys are a written table, so that both sides are plain exchanges and AQE splits the hot ones.
         return lines.join(keys, ["h1", "h2"], "left_semi")
     return lines.join(F.broadcast(hot), ["h1", "h2"], "left_semi").unionByName(
         lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(keys, ["h1", "h2"], "left_semi")
@@ -58,11 +63,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     """``docs`` with ``text`` rid of frequent lines, and ``n_lines`` and ``n_dropped`` (long) beside it.
 
     A text is split at line feeds. A line's key is the line without white space (space, tab to carriage return) at
-    its ends and with A-Z in lower case. Keys of at least ``min_chars`` code points that at least ``min_docs`` rows
+    its ends and with A-Z in lower case. Keys of at least ``min_chars`` code points that at least ``min_docs`` documents
     have lose all their lines in every row; what stays is joined by line feeds.
 
-    Nulls: a null text is one empty line and comes out empty; a null id is an id like any other. Repeated rows count
-    as so many documents; a key counts once in a row. An empty text has one line. An empty table gives an empty
+    Nulls: a null text is one empty line and comes out empty; a null id is an id like any other. Rows that share an id are
+    one document, in which a key counts once, and each has its own text. An empty text has one line. An empty table gives an empty
     table. Columns of ``docs`` named ``n_lines`` or ``n_dropped`` give way to the new ones; all others are kept.
     """
     lines_, bad_, t1, t2, id_ = fresh(docs, "lines_", "bad_", "t1_", "t2_", "id_")

@@ -15,7 +15,7 @@ from loomstone.llm.decontaminate import contamination
 from loomstone.llm.license_scan import scan_licenses
 from loomstone.llm.line_dedup import dedup_lines
 from loomstone.llm.merkle import fingerprint, likeness, with_next
-from loomstone.llm.secret_scan import scan_secrets
+from loomstone.llm.secret_scan import MORE_RULES, RULES, scan_secrets, update_ledger
 from loomstone.llm.simhash import near_duplicates
 from loomstone.llm.token_counts import count_tokens
 from loomstone.llm.toxicity import score_toxicity
@@ -156,12 +156,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
-    named = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    """Two scans over one ledger: the first fills it, the second finds no unseen pair of blob and rule and joins."""
+    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), shared_path(spark, "secret-ledger")
+    update_ledger(docs, ledger, RULES + MORE_RULES)
+    found = scan_secrets(docs, RULES + MORE_RULES, ledger)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("secrets", lambda s: s["kind"].isin([r.kind for r in RULES]))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(named, "utf-8"), 256).alias("base_sha256"), named.alias("spans")
-    )
+    base_sha256 = F.sha2(F.encode(listed(base), "utf-8"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base_sha256, listed(F.col("secrets")).alias("spans"))
 
 
 def _matches_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
@@ -183,13 +186,17 @@ OP9_SQL = (
             _matches_sql("assign", 0, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
             _matches_sql("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
             _matches_sql("hex", 2, r"[0-9a-f]{24,}", 0, 24),
+            _matches_sql("private_key", 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+            _matches_sql("web_token", 4, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+            _matches_sql("code_host", 5, r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
         ]
     )
     + """), s AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
              count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || (start + len), ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
              string_agg(kind || ':' || start || ':' || (start + len), ',' ORDER BY start, rank) AS spans FROM m WHERE good GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN s USING (doc_id)
 """
 )

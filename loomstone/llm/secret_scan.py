@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import fresh, quoted
@@ -49,6 +49,13 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 )
 
+#: What the base kinds do not state: key files, signed web tokens and access tokens with a known head.
+MORE_RULES = (
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ[A-Za-z0-9_-]+\."),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
+)
+
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int,rule:string>>"
 
 
@@ -99,6 +106,47 @@ def find_spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def _address(text: str) -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce(quoted(text).cast("string"), F.lit("")), "utf-8"), 256))
+
+
+def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Scan what the ledger has yet to see of ``docs``, one copy of each blob, and add it to the ledger.
+
+    ``findings`` is written before ``seen``. A scan that stops in between is done anew by the next one; what it had found
+    is then there twice, which ``ledger_findings`` merges.
+    """
+    spark = docs.sparkSession
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    blobs = docs.select(quoted(doc_id).alias("id"), _address(text).alias("blob")).groupBy("blob").agg(F.min("id").alias("rep"))
+    unseen = blobs.withColumn("todo", keys)
+    if _exists(spark, f"{ledger}/seen"):
+        before = spark.read.parquet(f"{ledger}/seen").groupBy("blob").agg(F.flatten(F.collect_set("todo")).alias("done"))
+        todo = F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))
+        unseen = blobs.join(before, "blob", "left").select("blob", "rep", todo.alias("todo")).filter(F.size("todo") > 0)
+    unseen = cut(unseen)
+    if unseen.isEmpty() and _exists(spark, f"{ledger}/seen"):
+        return
+
+    texts = (
+        docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
+        .withColumn("address", _address("text"))
+        .join(unseen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("address") == F.col("blob")))
+    )
+    find_spans(texts, rules).write.mode("append").parquet(f"{ledger}/findings")
+    unseen.select("blob", "todo").write.mode("append").parquet(f"{ledger}/seen")
+
+
+def ledger_findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans): what the ledger holds of the rules at their versions, a row for each blob with a finding."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    current = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
+    found = spark.read.parquet(f"{ledger}/findings").select("blob", F.explode(current).alias("span")).select("blob", "span.*")
+    ranks = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)]), F.col("rule"))
+    span = F.struct("start", ranks.alias("rank"), "kind", "end", "rule")
+    return found.groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+
+
 def scan_secrets(
     docs: DataFrame,
     rules: tuple[Rule, ...] = RULES,
@@ -117,44 +165,18 @@ def scan_secrets(
     Columns of ``docs`` named ``blob`` or ``secrets`` give way to the new ones.
     """
     spark = docs.sparkSession
-    known = _exists(spark, ledger)
     ledger = ledger or shared_path(spark, "secret-ledger")
-    address = F.unhex(F.sha2(F.encode(F.coalesce(quoted(text).cast("string"), F.lit("")), "utf-8"), 256))
-    paths = docs.select(quoted(doc_id).alias("id"), address.alias("blob"))
-
-    keys = F.array(*[F.lit(r.key) for r in rules])
-    blobs = paths.groupBy("blob").agg(F.min("id").alias("rep"))
-    if known:
-        before = spark.read.parquet(f"{ledger}/seen").groupBy("blob").agg(F.flatten(F.collect_set("todo")).alias("done"))
-        todo = F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))
-        unseen = blobs.join(before, "blob", "left").select("blob", "rep", todo.alias("todo")).filter(F.size("todo") > 0)
-    else:
-        unseen = blobs.withColumn("todo", keys)
-    unseen = cut(unseen)
-
-    texts = (
-        docs.select(quoted(doc_id).alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
-        .withColumn("address", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
-        .join(unseen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("address") == F.col("blob")))
-    )
-    find_spans(texts, rules).write.mode("append").parquet(f"{ledger}/findings")
-    unseen.select("blob", "todo").write.mode("append").parquet(f"{ledger}/seen")
-
-    current = F.filter("spans", lambda s: F.array_contains(keys, s["rule"]))
-    findings = spark.read.parquet(f"{ledger}/findings").select("blob", current.alias("spans")).filter(F.size("spans") > 0)
-    if known:
-        findings = cut(findings.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))
+    update_ledger(docs, ledger, rules, text, doc_id)
+    findings = cut(ledger_findings(spark, ledger, rules))
     blob_, = fresh(docs, "blob_")
     kept = [quoted(c) for c in docs.columns if c.lower() not in ("blob", "secrets")]
     return (
-        docs.select(*kept, address.alias(blob_))
+        docs.select(*kept, _address(text).alias(blob_))
         .join(findings, F.col(blob_) == findings["blob"], "left")
         .select(*kept, F.col(blob_).alias("blob"), F.coalesce("spans", F.array().cast(FINDING)).alias("secrets"))
     )
 
 
-def _exists(spark, ledger: str | None) -> bool:
-    if ledger is None:
-        return False
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/seen")
+def _exists(spark: SparkSession, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

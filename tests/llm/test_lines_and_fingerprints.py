@@ -42,11 +42,17 @@ def test_dedup_with_repeated_and_null_ids_and_clashing_columns(spark):
     texts = ["x\ny", "x\ny", "x\nz", "z"]
     rows = [(1, t, 5, 6, 7) for t in texts[:2]] + [(None, t, 5, 6, 7) for t in texts[2:]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bad_ int, lines_ int, t1_ int")
-    out = dedup_lines(docs, 3)
+    out = dedup_lines(docs, 2)
     assert set(out.columns) == {*docs.columns, "n_lines", "n_dropped"}
     assert Counter((r.doc_id, r.text, r.bad_) for r in out.collect()) == Counter([(1, "y", 5), (1, "y", 5), (None, "z", 5), (None, "z", 5)])
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "own\nline")] * 10 + [(k, "shared") for k in range(2, 12)], "doc_id long, text string")
+    found = Counter((r.text, r.n_dropped) for r in dedup_lines(docs, 10).collect())
+    assert found == Counter({("own\nline", 0): 10, ("", 1): 10})
+
+
 def test_dedup_beyond_the_broadcast_bound(spark, monkeypatch):
     import loomstone.llm.line_dedup as module
 

@@ -1,6 +1,7 @@
 """Secret scans against regular expressions in Python, and the ledger."""
 
 import re
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -76,6 +77,23 @@ def test_the_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     assert [k for k, *_ in again[4]] == [k for k, *_ in plain(TEXTS[5]) if k != "access"]
 
 
+def test_an_interrupted_scan_is_done_anew(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, TEXTS[2]), (2, "clean"), (3, TEXTS[5])], "doc_id long, text string")
+    want = dict(found(S.scan_secrets(docs, ledger=ledger)))
+    shutil.rmtree(f"{ledger}/seen")
+    assert sorted(found(S.scan_secrets(docs, ledger=ledger))) == sorted(want.items())
+    assert sorted(found(S.scan_secrets(docs, ledger=ledger))) == sorted(want.items())
+
+
+def test_other_kinds_stand_beside_the_base(spark):
+    text = "x -----BEGIN RSA PRIVATE KEY----- token=abcdef ghp_" + "Z9" * 18 + " eyJ" + "a" * 20 + "." + "b" * 20 + ".c-_ ghp_short"
+    docs = spark.createDataFrame([(1, text), (2, TEXTS[5])], "doc_id long, text string")
+    got = dict(found(S.scan_secrets(docs, S.RULES + S.MORE_RULES)))
+    assert [k for k, *_ in got[1]] == ["private_key", "assign", "code_host", "web_token"] and got[2] == plain(TEXTS[5])
+    assert all(text[a:b].startswith(h) for (_, a, b), h in zip(got[1], ("-----", "token=", "ghp_", "eyJ"), strict=True))
+
+
 def test_scan_is_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in S.scan_secrets(docs).select(F.size("secrets"))._jdf.queryExecution().toString()
