@@ -16,7 +16,6 @@ of each compressed plane.
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,14 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.arrays import ranges, slices
-from loomstone.llm.chunks import ChunkEncoder
+from loomstone.llm.arrays import slices
 from loomstone.llm.common import quoted
 
 #: Ids in a block; id 2 ends a document.
 BLOCK_IDS, END_ID = 65_536, 2
 #: Bytes of text that a shard is meant to hold, and that are encoded at a time.
-SHARD_BYTES, PART_BYTES = 64 << 20, 4 << 20
+SHARD_BYTES, PART_BYTES = 64 << 20, 1 << 20
 
 BLOCK_SCHEMA = "shard int, block long, n_ids long, planes array<binary>, doc_ids array<long>, doc_ends array<long>"
 
@@ -68,8 +66,8 @@ def from_planes(planes: list[bytes], n: int, by: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _library(path: str, drops_space: bool) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """Encodes texts with the tokenizers library; one copy in each worker."""
+def _library(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Encodes whole texts with the tokenizers library; one copy in each worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -77,34 +75,12 @@ def _library(path: str, drops_space: bool) -> Callable[[pa.Array], tuple[np.ndar
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
         sizes = np.array([len(x) for x in lists], np.int64)
-        return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
-
-    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-
-    def words(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Runs of letters are one word each, which ends where a token has the suffix: many go into one text."""
-        texts = [r.decode() for r in runs]
-        is_word = np.array([t.isalpha() for t in texts]) if suffix else np.zeros(len(texts), bool)
-        whole = [t for t, w in zip(texts, is_word.tolist(), strict=True) if w]
-        flat, _ = many(["\n".join(whole[i : i + 256]) for i in range(0, len(whole), 256)])
-        stops = np.flatnonzero(ends[flat]) + 1
-        if len(stops) != len(whole):
-            return many(texts)
-        rest, rest_sizes = many([t for t, w in zip(texts, is_word.tolist(), strict=True) if not w])
-        sizes, begin = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        sizes[is_word], sizes[~is_word] = np.diff(stops, prepend=0), rest_sizes
-        begin[is_word], begin[~is_word] = stops - sizes[is_word], len(flat) + np.cumsum(rest_sizes) - rest_sizes
-        return np.concatenate((flat, rest))[ranges(begin, sizes)], sizes
-
-    if drops_space:
-        return ChunkEncoder(words)
-    return lambda column: many(column.fill_null("").to_pylist())
+        return np.concatenate(lists) if lists else np.zeros(0, np.uint32), sizes
+
+    return encode
 
 
 class _BlockWriter:
@@ -168,17 +144,16 @@ def write_ids(
     end_id: int = END_ID,
     by: str = "byte",
     level: int = 3,
-    drops_space: bool = False,
     shards: int | None = None,
 ) -> None:
     """Write the ids of every whole text, ``end_id`` after each, in ascending order of ``doc_id`` (a whole number).
 
-    ``path`` gets ``blocks`` and ``index``. ``by``: planes of bits or bytes. ``drops_space``: the tokenizer drops white
-    space and parts letters from marks, so that the runs between spaces can be encoded one by one (see ``chunks``).
-    ``shards``: how many, by default what gives about SHARD_BYTES of text each and keeps all partitions busy.
+    ``path`` gets ``blocks`` and ``index``. ``by``: planes of bits or bytes. ``shards``: how
+    many, by default what gives about SHARD_BYTES of text each and keeps all partitions busy.
 
-    Null and empty texts are the end id alone; null ids come first; rows that share an id lie side by side, in no
-    set order. An empty table gives files without a row. Other columns are not looked at.
+    Null and empty texts are the end id alone; null ids come first; rows that share an id lie side by side, by the hash of
+    their texts, and are dealt over shards by it, too; rows that agree in both are alike. An empty table gives files without a
+    row. Other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(quoted(doc_id).cast("long").alias("id"), quoted(text).cast("string").alias("text"))
@@ -187,7 +162,7 @@ def write_ids(
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _library(tokenizer, drops_space)
+        encode = _library(tokenizer)
         writer = _BlockWriter(TaskContext.get().partitionId(), by, level)
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
@@ -199,7 +174,8 @@ def write_ids(
         for row in writer.rows(True):
             yield pa.RecordBatch.from_pylist([row], _ARROW)
 
-    dealt = rows.repartitionByRange(shards, "id").sortWithinPartitions("id")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     dealt.mapInArrow(work, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     _index(spark.read.parquet(f"{path}/blocks")).write.parquet(f"{path}/index")
 

@@ -28,7 +28,7 @@ def word_vocabulary() -> str:
 
 def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-ids")
-    write_ids(documents(spark, sf_dir), path, word_vocabulary(), drops_space=True)
+    write_ids(documents(spark, sf_dir), path, word_vocabulary())
     return read_documents(spark, path, each=crc32).select("doc_id", "start", "n_tokens", F.col("digest").alias("ids_crc32"))
 
 
