@@ -8,6 +8,7 @@ merged from the left, and words without a pair left retire.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from loomstone.llm.arrays import slices
 from loomstone.llm.chunks import ChunkEncoder
@@ -27,6 +29,21 @@ from loomstone.llm.common import fresh, quoted
 NO_RANK = np.int64(2**62)
 
 
+def _new_characters() -> Iterator[str]:
+    """What Python's tables do not know or the pattern's tables sort otherwise, as ranges of a character class."""
+    letter, digit, space = (regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    begun = None
+    for point in range(0xA0, 0x110001):
+        c = chr(min(point, 0x10FFFF))
+        kind = unicodedata.category(c)
+        new = point < 0x110000 and (kind == "Cn" or (kind[0] == "L") != bool(letter.match(c)) or (kind[0] == "N") != bool(digit.match(c)) or c.isspace() != bool(space.match(c)))
+        if new and begun is None:
+            begun = point
+        elif not new and begun is not None:
+            yield f"\\U{begun:08x}-\\U{point - 1:08x}"
+            begun = None
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -109,12 +126,22 @@ class WordBpe:
         self.tokens = [""] * (max([*model["vocab"].values(), *self.special.values()]) + 1)
         for token, i in [*model["vocab"].items(), *self.special.items()]:
             self.tokens[i] = token
+        self.library = Tokenizer.from_file(path)
+        # Combining marks that the library's normalisation orders otherwise.
+        marks = (chr(p) for p in range(0x300, 0x110000) if unicodedata.category(chr(p))[0] == "M")
+        other = [c for c in marks if self.library.normalizer.normalize_str(f"a\u0345{c}\u0334") != unicodedata.normalize("NFC", f"a\u0345{c}\u0334").lower()]
+        self.new = re.compile(f"[{''.join([*_new_characters(), *map(re.escape, other)])}]")
+        self.bytes = {letter: b for b, letter in enumerate(byte_letters())}
         self.chunks = ChunkEncoder(self.encode_runs)
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[bytes]:
+        if self.new.search(text):
+            # The library's tables differ from Python's here: it says itself what is a letter.
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes(self.bytes[c] for c in piece) for piece, _ in pieces]
         # Letter by letter, so that a capital sigma has one lower case wherever it stands.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.pattern.findall(text)
+        return [w.encode() for w in self.pattern.findall(text)]
 
     def encode_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of runs without white space, flat, and how many each has."""
@@ -128,7 +155,7 @@ class WordBpe:
                 if k % 2:
                     parts.append(-1 - self.special[piece])
                 elif piece:
-                    parts += [place.setdefault(w.encode(), len(place)) for w in self.words(piece)]
+                    parts += [place.setdefault(w, len(place)) for w in self.words(piece)]
             counts.append(len(parts) - n)
         ids, sizes = self.rounds(list(place))
         at = np.asarray(parts, np.int64)

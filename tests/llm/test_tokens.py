@@ -1,6 +1,7 @@
 """Token encoders, files and counts against the tokenizers libraries."""
 
 import base64
+import random
 import zlib
 
 import numpy as np
@@ -50,6 +51,25 @@ def test_merge_rounds_agree_with_the_library(library):
         assert coder.decode(flat, sizes) == [library.decode(w, skip_special_tokens=False) for w in want]
 
 
+@pytest.mark.parametrize("form", ["{0}", "x{0}y", "A{0}\u0301 {0}1", "1{0}\u0345\u0323"])
+def test_every_code_point_is_encoded_as_by_the_library(library, form):
+    coder, points = bpe.WordBpe(PATH), [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and not 0x32000 <= p < 0xE0000 and p < 0xE1000]
+    for i in range(0, len(points), 50_000):
+        texts = [form.format(chr(p)) for p in points[i : i + 50_000]]
+        flat, sizes = coder.encode(pa.array(texts))
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert np.array_equal(sizes, [len(w) for w in want]) and np.array_equal(flat, np.concatenate(want))
+
+
+def test_random_strings_of_odd_characters(library):
+    rng = random.Random(6)
+    pools = [range(0x20, 0x7F), range(0x80, 0x600), range(0x900, 0x1100), range(0x1A00, 0x2100), range(0xA800, 0xABF0), range(0x10E00, 0x11400), range(0x1E000, 0x1FA00)]
+    texts = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    flat, sizes = bpe.WordBpe(PATH).encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert np.array_equal(sizes, [len(w) for w in want]) and np.array_equal(flat, np.concatenate(want))
+
+
 def test_encoder_forgets_and_goes_on(library, monkeypatch):
     import loomstone.llm.chunks as K
 
@@ -85,13 +105,13 @@ def test_planes_round_trip(by, ids):
         assert len(planes) == int(ids.max()).bit_length()
 
 
-@pytest.mark.parametrize("by,space,block", [("byte", True, 64), ("bit", False, 64), ("bit", True, 1 << 16)])
-def test_files_read_back(spark, library, tmp_path, monkeypatch, by, space, block):
+@pytest.mark.parametrize("by,block", [("byte", 64), ("bit", 64), ("bit", 1 << 16)])
+def test_files_read_back(spark, library, tmp_path, monkeypatch, by, block):
     monkeypatch.setattr(B, "BLOCK_IDS", block)
     ids = [30, 4, 77, 8, 15, 16, 23, 42, 1, 2, 3, 99, 98, 97]
     docs = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, TEXTS, strict=True)], "doc_id long, text string, shard string")
     path = str(tmp_path / "ids")
-    B.write_ids(docs, path, PATH, by=by, drops_space=space, shards=3)
+    B.write_ids(docs, path, PATH, by=by, shards=3)
     got = {r.doc_id: r for r in B.read_documents(spark, path, by).collect()}
     stream, start = [], 0
     for i, t in sorted(zip(ids, TEXTS, strict=True)):
@@ -111,6 +131,9 @@ def test_files_of_nulls_ties_and_nothing(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     B.write_ids(docs, str(tmp_path / "a"), PATH, shards=2)
     got = [(r.doc_id, r.start) for r in B.read_documents(spark, str(tmp_path / "a")).orderBy("start").collect()]
+    B.write_ids(docs.repartition(3), str(tmp_path / "c"), PATH, shards=2)
+    each = [sorted(map(str, B.read_documents(spark, str(tmp_path / k)).collect())) for k in "ac"]
+    assert each[0] == each[1]
     assert [g[0] for g in got] == [None, 5, 5, 5] and got[0][1] == 0
     B.write_ids(docs.limit(0), str(tmp_path / "b"), PATH, shards=2)
     assert B.read_documents(spark, str(tmp_path / "b")).count() == 0
