@@ -24,7 +24,8 @@ GRAMS = (3, 4, 5)
 BITS = 18
 #: The regression is fitted on at most so many training rows, those whose ids have the least hashes.
 FIT_ROWS = 8_000
-#: Features that stand out from chance by at least so many standard deviations, and at most how many of them.
+#: The model's size: it has the features whose ratio stands out from chance by at least so many standard deviations, and of
+#: them at most so many, those that do most. Counts are of all features.
 STANDS_OUT, MOST_FEATURES = 5.0, 8_192
 THRESHOLD = 0.3
 
@@ -148,8 +149,25 @@ def _regress(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: np.
     return w, b
 
 
-def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from (id, text, label): counts over all rows, the regression over at most ``fit_rows`` of them.
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """(text, label) of exactly ``most`` rows (id, text, label), or all of fewer: those with the least hash of id, then of text.
+
+    Rows that agree with the last one in all of this are alike, and only as many of them are taken as there is room for.
+    """
+    key = F.struct(F.xxhash64(F.col("id"), F.lit("fit")).alias("o"), F.xxhash64("text").alias("h"), "label", F.octet_length("text").alias("n"))
+    top = rows.select(key.alias("k")).orderBy("k").limit(most)
+    last = top.agg(F.max("k").alias("k")).first().k
+    if last is None:
+        return rows.select("text", "label").limit(0)
+    bound = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, top.schema["k"].dataType, strict=True)])
+    room = most - top.filter(F.col("k") < bound).count()
+    same = rows.filter(key == bound).select("text", "label").limit(room)
+    return rows.filter(key < bound).select("text", "label").unionByName(same)
+
+
+def train(rows: DataFrame, fit_rows: int = FIT_ROWS, stands_out: float = STANDS_OUT, most_features: int = MOST_FEATURES) -> Model:
+    """A model from (id, text, label): counts over all rows, the regression over at most ``fit_rows`` of them, on the features
+    that stand out from chance by ``stands_out`` standard deviations, of which the model holds at most ``most_features``.
 
     Without a row of either label every score is the share of toxic rows (a half where there are none).
     """
@@ -158,8 +176,8 @@ def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         share = (n_toxic + 1) / (n_clean + n_toxic + 2)
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     ratio, far = ratios(clean, toxic, n_clean, n_toxic)
-    ranked = np.argsort(-far, kind="stable")[:MOST_FEATURES]
-    kept = np.sort(ranked[far[ranked] >= STANDS_OUT])
+    ranked = np.argsort(-far, kind="stable")[:most_features]
+    kept = np.sort(ranked[far[ranked] >= stands_out])
     scale = np.zeros(1 << BITS)
     scale[kept] = ratio[kept]
     wanted = np.zeros(1 << BITS, bool)
@@ -174,14 +192,12 @@ def train(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[feature].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("label"), lists], names=["label", "features"])
 
-    order = F.xxhash64(F.col("id"), F.lit("fit"))
-    ids = rows.select("id", order.alias("o")).orderBy("o", "id").limit(fit_rows).agg(F.max("o").alias("o")).first().o
-    table = rows.filter(order <= ids).select("text", "label").mapInArrow(work, "label int, features array<int>").toArrow()
+    table = _sample(rows, fit_rows).mapInArrow(work, "label int, features array<int>").toArrow()
     labels = np.asarray(table["label"], np.float64)
     lists = table["features"].combine_chunks()
     sizes = np.asarray(pc.list_value_length(lists), np.int64)
-    at = np.repeat(np.arange(len(labels)), sizes)
-    cols = np.asarray(lists.flatten() if not isinstance(lists, pa.ChunkedArray) else pc.list_flatten(lists), np.int64)
+    at = np.repeat(np.arange(len(labels), dtype=np.int32), sizes)
+    cols = np.asarray(lists.flatten() if not isinstance(lists, pa.ChunkedArray) else pc.list_flatten(lists), np.int32)
     weight = np.zeros(1 << BITS)
     fitted, bias = _regress(at, cols, scale[kept][cols], labels, len(kept))
     weight[kept] = fitted * scale[kept]

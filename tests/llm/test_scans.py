@@ -1,5 +1,6 @@
 """Decontamination, license scans and toxicity against plain versions and held-out labels."""
 
+import math
 import random
 import re
 import zlib
@@ -176,6 +177,60 @@ def test_dropping_keeps_all_columns(spark):
     assert sum(truth[r.doc_id] for r in rows) <= 3 and len(rows) > 280
 
 
+def plain_features(text):
+    """The distinct hashed n-grams of a text, by whole numbers."""
+    points = [ord(c) + 32 * ("A" <= c <= "Z") for c in text or ""]
+    out, most = set(), 2**64
+    for n in (3, 4, 5):
+        for k in range(len(points) - n + 1):
+            x = 0
+            for p in points[k : k + n]:
+                x = (x * 0x9E3779B97F4A7C15 + p + 1) % most
+            x ^= x >> 30
+            x = x * 0xBF58476D1CE4E5B9 % most
+            x ^= x >> 27
+            x = x * 0x94D049BB133111EB % most
+            out.add((x ^ x >> 31) >> (64 - T.BITS))
+    return out
+
+
+def test_counts_ratios_and_scores_against_brute_force(spark):
+    docs, labels = labelled_corpus(260)
+    docs[3] = (3, None, "", 0.0)
+    rows = T.labelled(spark.createDataFrame(docs, "doc_id long, text string, s string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    truth = dict(labels)
+    taught = {i: t for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 4 != 2}
+    have = {i: plain_features(t) for i, t in taught.items()}
+    clean, toxic, n_clean, n_toxic = T._class_counts(rows)
+    for label, counts in ((0, clean), (1, toxic)):
+        want = {}
+        for i, own in have.items():
+            for f in own if truth[i] == label else ():
+                want[f] = want.get(f, 0) + 1
+        assert {int(f): int(counts[f]) for f in counts.nonzero()[0]} == want
+    assert (n_clean, n_toxic) == (sum(not truth[i] for i in taught), sum(truth[i] for i in taught))
+    ratio, far = T.ratios(clean, toxic, n_clean, n_toxic)
+    for f in sorted({f for own in have.values() for f in own})[::97]:
+        a, b = toxic[f], clean[f]
+        assert ratio[f] == pytest.approx(math.log((a + 1) / (n_toxic + 2)) - math.log((b + 1) / (n_clean + 2)))
+        cells = [(a, a + b, n_toxic), (b, a + b, n_clean), (n_toxic - a, len(taught) - a - b, n_toxic), (n_clean - b, len(taught) - a - b, n_clean)]
+        assert far[f] == pytest.approx(math.sqrt(max(0, 2 * sum(c * math.log(c * len(taught) / (r * n)) for c, r, n in cells if c))), abs=1e-4)
+    model = T.train(rows, 100)
+    assert set(model.weight.nonzero()[0]) <= {f for f in range(1 << T.BITS) if far[f] >= T.STANDS_OUT}
+    for text in ("", "grimsplat here", docs[0][1]):
+        z = model.bias + sum(model.weight[f] for f in plain_features(text))
+        assert model.scores(pa.array([text]))[0] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_the_sample_is_exact_with_repeated_ids_and_rows(spark):
+    rows = [(7, "same", 0)] * 30 + [(7, f"text {k}", k % 2) for k in range(30)] + [(k, "x", 1) for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "id long, text string, label int").repartition(5)
+    for most in (1, 10, 45, 89, 90, 500):
+        got = sorted(map(tuple, T._sample(df, most).collect()))
+        assert len(got) == min(most, 90) and got == sorted(map(tuple, T._sample(df.repartition(3), most).collect()))
+    assert T._sample(df.limit(0), 5).count() == 0
+
+
 def test_counting_agrees_with_sets():
     texts = ["abcabc", None, "ABCabd", "é日本語é日本語", "ab"]
     import numpy as np
