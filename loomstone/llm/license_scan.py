@@ -8,7 +8,8 @@ each, such a window shares a band with the template with a probability of at lea
 minima of larger windows come from those of smaller ones.
 
 What a band retrieves is verified: the part of the template's shingles that the window, with half a class on either side,
-holds must be at least 0.8. Templates are a bounded list that goes to every task; texts do not move.
+holds must be at least 0.8. Hashes decide what is looked at closer, the words themselves what holds. Templates go to every
+task, a block of bounded size after the other; texts do not move.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomstone.llm.arrays import SpanHasher, combine, lowered, mix, ranges, slices, text_bytes, word_spans
 from loomstone.llm.common import quoted
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 64
-#: At most so many templates; their tables are a few kilobytes each.
+#: At most so many templates in a block; their tables are a few kilobytes each.
 MOST_TEMPLATES = 10_000
 
 # Notices as their publishers word them.
@@ -63,27 +65,35 @@ _LOW = np.uint64(0xFFFF)
 PART_BYTES = 512 << 10
 
 
-def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all shingles of all texts, flat, and where each text's begin (one more than texts)."""
-    raw, starts = text_bytes(column)
-    raw = lowered(raw)
-    opens, closes, first = word_spans(raw, starts, _WORD)
-    counts = np.maximum(np.diff(first) - SHINGLE + 1, 0)
-    hashes = combine(SpanHasher(raw)(opens, closes), SHINGLE)[ranges(first[:-1], counts)]
-    return hashes, np.concatenate(([0], np.cumsum(counts)))
+class Shingles:
+    """All shingles of all texts: hashes, flat, and where each text's begin (one more than texts)."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw, starts = text_bytes(column)
+        self.raw = lowered(raw)
+        self.open, self.close, self.first = word_spans(self.raw, starts, _WORD)
+        counts = np.maximum(np.diff(self.first) - SHINGLE + 1, 0)
+        self.hashes = combine(SpanHasher(self.raw)(self.open, self.close), SHINGLE)[ranges(self.first[:-1], counts)]
+        self.bounds = np.concatenate(([0], np.cumsum(counts)))
+
+    def words(self, text: int, begin: int, end: int) -> set[tuple[bytes, ...]]:
+        """The shingles at ``begin`` to before ``end`` of all, which are of this text, word by word."""
+        at = self.first[text] + begin - self.bounds[text]
+        own = [self.raw[a:b].tobytes() for a, b in zip(self.open[at : at + end - begin + SHINGLE - 1], self.close[at:], strict=False)]
+        return set(zip(*[own[k : k + end - begin] for k in range(SHINGLE)], strict=True))
 
 
 class Templates:
     """Shingle sets of the templates, and by class and band the minima that retrieve them, sorted."""
 
     def __init__(self, texts: dict[str, str]) -> None:
-        if len(texts) > MOST_TEMPLATES:
-            raise ValueError(f"more than {MOST_TEMPLATES} templates")
-        hashes, bounds = _shingles(pa.array(list(texts.values()), pa.string()))
+        made = Shingles(pa.array(list(texts.values()), pa.string()))
+        hashes, bounds = made.hashes, made.bounds
         sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         kept = [k for k, s in enumerate(sets) if len(s)]
         self.names = [list(texts)[k] for k in kept]
         self.sets = [sets[k] for k in kept]
+        self.words = [made.words(k, bounds[k], bounds[k + 1]) for k in kept]
         self.sizes = [int(bounds[k + 1] - bounds[k]) for k in kept]
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for c in sorted({self._class(n) for n in self.sizes}):
@@ -120,7 +130,8 @@ def _over(bounds: np.ndarray, small: int, large: int) -> np.ndarray:
 def find_templates(column: pa.Array, templates: Templates, banded: bool = True) -> list[tuple[int, int, float, int]]:
     """(text, template, containment, shingle at which the window begins) of the best window of each template that a text
     holds, by text and template. ``banded`` false verifies every window with every template of its class."""
-    hashes, bounds = _shingles(column)
+    made = Shingles(column)
+    hashes, bounds = made.hashes, made.bounds
     if not len(hashes):
         return []
     candidates: dict[tuple[int, int], set[int]] = {}
@@ -152,6 +163,9 @@ def find_templates(column: pa.Array, templates: Templates, banded: bool = True)
             t = int(text[k])
             a, b = max(bounds[t], begin[k] - c // 2), min(bounds[t + 1], begin[k] + 2 * c + c // 2)
             share = float(np.isin(wanted, hashes[a:b]).mean())
+            if share >= CONTAINED and share > best.get((t, owner), (0.0, 0))[0]:
+                exact = templates.words[owner]
+                share = len(exact & made.words(t, int(a), int(b))) / len(exact)
             if share >= CONTAINED and share > best.get((t, owner), (0.0, 0))[0]:
                 best[t, owner] = (share, int(begin[k] - bounds[t]))
     return [(t, owner, *found) for (t, owner), found in sorted(best.items())]
@@ -164,18 +178,29 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
     Null, empty and short texts hold nothing; templates of fewer than five words are never found. Null and repeated
     ids and repeated rows are rows of their own; an empty table gives an empty table; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
     rows = docs.select(quoted(doc_id).alias("id"), quoted(text).cast("string").alias("text"))
+    every = list((TEMPLATES if templates is None else templates).items())
+    found = rows.withColumn("licenses", F.array().cast(_LICENSES))
+    for k in range(0, len(every), MOST_TEMPLATES):
+        found = _add_found(found, dict(every[k : k + MOST_TEMPLATES]))
+    return found.select(F.col("id").alias(doc_id), "licenses")
+
+
+_LICENSES = "array<struct<name:string,containment:double,word:bigint>>"
+
+
+def _add_found(rows: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """``rows`` (id, text, licenses) with what these templates add."""
+    shared = rows.sparkSession.sparkContext.broadcast(Templates(templates))
     kind = pa.list_(pa.struct([("name", pa.string()), ("containment", pa.float64()), ("word", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
-                out: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                out: list[list[dict]] = part.column("licenses").to_pylist()
                 for t, owner, share, word in find_templates(part.column("text"), known):
                     out[t].append({"name": known.names[owner], "containment": share, "word": word})
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, kind)], names=["id", "licenses"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array(out, kind)], names=["id", "text", "licenses"])
 
-    schema = f"id {rows.schema[0].dataType.simpleString()}, licenses array<struct<name:string,containment:double,word:bigint>>"
-    return rows.mapInArrow(work, schema).withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(work, rows.schema)
