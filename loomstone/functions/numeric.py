@@ -401,7 +401,23 @@ def multiply_complex(a: Column, b: Column) -> Column:
     return F.struct(re.alias("re"), (a["re"] * b["im"] + a["im"] * b["re"]).alias("im"))
 
 
-#: The transposed matrix of cofactors of an invertible matrix; null for others.
-adjugate = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), lambda a: (np.linalg.inv(a) * np.linalg.det(a)).tolist())
-#: Unit eigenvectors of a symmetric matrix, as rows, by ascending eigenvalue.
-eigenvectors = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), lambda a: np.linalg.eigh(a)[1].T.tolist())
+def _adjugate(a: np.ndarray) -> list:
+    """From minors, so that singular matrices have one, too."""
+    n = len(a)
+    minor = lambda i, j: np.linalg.det(np.delete(np.delete(a, i, 0), j, 1)) if n > 1 else 1.0
+    return [[float((-1) ** (i + j) * minor(j, i)) for j in range(n)] for i in range(n)]
+
+
+def _eigenvectors(a: np.ndarray) -> list | None:
+    values, vectors = np.linalg.eig(a)
+    if np.iscomplex(values).any():
+        return None
+    vectors = vectors.real[:, np.argsort(values.real, kind="stable")]
+    lead = vectors[np.argmax(np.abs(vectors) > 1e-12, axis=0), np.arange(len(a))]
+    return (vectors * np.where(lead < 0, -1, 1)).T.tolist()
+
+
+#: The transposed matrix of cofactors.
+adjugate = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), _adjugate)
+#: Unit eigenvectors as rows, by ascending eigenvalue, their first part that is not nought positive; null where some are not real.
+eigenvectors = _linear(T.ArrayType(T.ArrayType(T.DoubleType())), _eigenvectors)

@@ -17,41 +17,67 @@ EDIT = T.StructType([T.StructField(n, t) for n, t in (("op", T.StringType()), ("
 SCRIPT = T.ArrayType(EDIT)
 
 
-def _script(a: list[str], b: list[str]) -> list[dict]:
-    """The greedy search for the furthest reach on each diagonal, then the way back."""
+def _reach(before: dict[int, int], k: int, n: int, m: int) -> int:
+    """How far one more edit comes on diagonal ``k`` within n times m, or -1."""
+    right, down = before.get(k - 1, -1), before.get(k + 1, -1)
+    return max(right + 1 if 0 <= right < n else -1, down if 0 <= down <= m + k else -1)
+
+
+def _snake(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
+    """A run of equal items, perhaps empty, in the middle of a shortest script of two edits or more: its begin and end in both.
+    The search goes from both ends at once, so that only the furthest reach on each diagonal is held."""
     n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
+    odd, shift = (n - m) % 2, n - m
+    ahead, back = {}, {}
+    for d in range((n + m + 1) // 2 + 1):
         for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
+            u = x = _reach(ahead, k, n, m) if d else 0
+            while 0 <= x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                break
-        else:
-            continue
-        break
-    out, x, y = [], n, m
-    for d in range(len(trail) - 1, -1, -1):
-        before, k = trail[d], x - y
-        down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
-        to = k + 1 if down else k - 1
-        px = before[to] if d else 0
-        py = px - to if d else 0
-        while x > px and y > py and x and y and a[x - 1] == b[y - 1]:
-            x, y = x - 1, y - 1
+            ahead[k] = x
+            if odd and x >= 0 and back.get(shift - k, -1) >= max(n - x, 0) and abs(shift - k) < d:
+                return u, u - k, x, x - k
+        for k in range(-d, d + 1, 2):
+            u = x = _reach(back, k, n, m) if d else 0
+            while 0 <= x < n and x - k < m and a[n - 1 - x] == b[m - 1 - (x - k)]:
+                x += 1
+            back[k] = x
+            if not odd and x >= 0 and ahead.get(shift - k, -1) >= max(n - x, 0) and abs(shift - k) <= d:
+                return n - x, m - (x - k), n - u, m - (u - k)
+    raise AssertionError("the searches meet after half of all edits")
+
+
+def _matches(a: list, b: list) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence. What only one side has is left out first; a stack takes the place of
+    recursion."""
+    ours, theirs = set(a), set(b)
+    left, right = [i for i, x in enumerate(a) if x in theirs], [j for j, y in enumerate(b) if y in ours]
+    out, stack = [], [(0, len(left), 0, len(right))]
+    while stack:
+        i, k, j, m = stack.pop()
+        while i < k and j < m and a[left[i]] == b[right[j]]:
+            out.append((left[i], right[j]))
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[left[k - 1]] == b[right[m - 1]]:
+            k, m = k - 1, m - 1
+            out.append((left[k], right[m]))
+        if i < k and j < m:
+            x, y, u, v = _snake([a[p] for p in left[i:k]], [b[q] for q in right[j:m]])
+            out += [(left[i + x + s], right[j + y + s]) for s in range(u - x)]
+            stack += [(i, i + x, j, j + y), (i + u, k, j + v, m)]
+    return sorted(out)
+
+
+def _script(a: list[str], b: list[str]) -> list[dict]:
+    """A shortest script: between kept items what goes comes before what is new."""
+    out, i, j = [], 0, 0
+    for x, y in [*_matches(a, b), (len(a), len(b))]:
+        out += [{"op": "del", "left": k, "right": None, "value": a[k]} for k in range(i, x)]
+        out += [{"op": "ins", "left": None, "right": k, "value": b[k]} for k in range(j, y)]
+        if x < len(a) and y < len(b):
             out.append({"op": "keep", "left": x, "right": y, "value": a[x]})
-        if d:
-            if down:
-                y -= 1
-                out.append({"op": "ins", "left": None, "right": y, "value": b[y]})
-            else:
-                x -= 1
-                out.append({"op": "del", "left": x, "right": None, "value": a[x]})
-    return out[::-1]
+        i, j = x + 1, y + 1
+    return out
 
 
 @pandas_udf(SCRIPT)

@@ -1,64 +1,66 @@
-"""Many literal terms searched at once."""
+"""Many literal terms searched at once, and keys looked up by their prefixes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: At most so many bytes of terms go to every task.
-MOST_BYTES = 64 << 20
+from loomstone.operators.sequence import fresh
+
+#: Code points of a text that are searched as one row.
+PIECE = 2_048
 
 
-def multi_search(df: DataFrame, text: str, terms: list[str], out: str = "found") -> DataFrame:
-    """``df`` with ``out``: struct(start, stop, term) of every occurrence of every term, overlaps included, by stop and start.
+def term_hits(df: DataFrame, text: str, key: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """(key, start, stop, term) of every occurrence of every term (a column of ``terms``), overlaps included.
 
-    One pass of an automaton over each text, whatever the number of terms. Null texts have null; empty terms are left out.
+    Texts are cut into pieces that overlap by the longest term. A piece yields its stretches as long as some term, and these
+    meet the terms by equality; both the texts and the terms can be of any size. Start and stop count code points, stop
+    exclusive. Null texts and empty and null terms have no occurrence; rows that share a key and a text count once.
     """
-    if sum(len(t.encode()) for t in terms) > MOST_BYTES:
-        raise ValueError("too many terms for one automaton; search for parts of them and unite the results")
-    shared = df.sparkSession.sparkContext.broadcast(sorted({t for t in terms if t}))
+    known = terms.select(F.col(term).alias("term")).filter("length(term) > 0").distinct()
+    # The lengths and first letters that terms have are few.
+    shape = known.agg(F.sort_array(F.collect_set(F.length("term"))).alias("lengths"), F.collect_set(F.left("term", F.lit(1))).alias("heads")).first()
+    lengths, heads = F.array(*map(F.lit, shape.lengths or [1])), F.array(*map(F.lit, shape.heads or [""]))
+    reach = PIECE - 1 + (shape.lengths or [1])[-1]
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("length(text) > 0")
+    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(PIECE))
+    piece = lambda s: F.struct(s.alias("at"), F.substr("text", s + 1, F.lit(reach)).alias("piece"))
+    pieces = rows.select("key", F.explode(F.transform(starts, piece)).alias("p")).select("key", "p.at", "p.piece")
+    places = F.filter(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE))), lambda i: F.array_contains(heads, F.substr("piece", i, F.lit(1))))
+    ways = lambda i: F.transform(lengths, lambda n: F.struct((F.col("at") + i - 1).alias("start"), n.alias("n"), F.substr("piece", i, n).alias("term")))
+    each = pieces.select("key", F.explode(F.flatten(F.transform(places, ways))).alias("w")).select("key", "w.*").filter(F.length("term") == F.col("n"))
+    return each.join(known, "term", "left_semi").select("key", "start", (F.col("start") + F.col("n")).alias("stop"), "term").distinct()
+
+
+def multi_search(df: DataFrame, text: str, key: str, terms: list[str], out: str = "found") -> DataFrame:
+    """``df`` with ``out``: array of struct(start, stop, term) of every occurrence of every term, overlaps included, by start
+    and stop. A text without any, null or not, has an empty array; rows are told apart by ``key``."""
+    spark, name = df.sparkSession, fresh(df, "key_")[0]
+    hits = term_hits(df, text, key, spark.createDataFrame([(t,) for t in terms], "term string"))
+    found = hits.groupBy(F.col("key").alias(name)).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "term"))).alias(out))
+    none = F.array().cast("array<struct<start:int,stop:int,term:string>>")
     kept = df.drop(out)
-    names = kept.columns
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("term", pa.string())]))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for term in shared.value:
-            automaton.add_word(term, term)
-        automaton.make_automaton()
+    joined = kept.join(found, F.col(key).eqNullSafe(F.col(name)), "left")
+    return joined.select(*kept.columns, F.coalesce(out, none).alias(out))
 
-        def hits(t: str | None) -> list | None:
-            if t is None or not shared.value:
-                return None if t is None else []
-            places = [(end + 1, end + 1 - len(term), term) for end, term in automaton.iter(t)]
-            return [{"start": a, "stop": b, "term": term} for b, a, term in sorted(places)]
 
-        for batch in batches:
-            column = batch.column(names.index(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hits(t) for t in column.to_pylist()], kind)], names=[*names, out])
+def longest_prefix(df: DataFrame, key: str, table: DataFrame, prefix: str, value: str) -> DataFrame:
+    """``df`` with ``value`` of the longest ``prefix`` in the table that its key begins with, or null.
 
-    hit = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("term", T.StringType())])
-    return kept.mapInArrow(work, T.StructType([*kept.schema, T.StructField(out, T.ArrayType(hit))]))
+    The distinct keys are joined by their own prefixes of those lengths that the table has. A null key has none; a column
+    of that name gives way.
+    """
+    k, = fresh(df, "key_")
+    keys = df.select(F.col(key).alias("k")).distinct()
+    known = table.select(F.col(prefix).alias("p"), F.col(value).alias("v"))
+    lengths = known.agg(F.sort_array(F.collect_set(F.length("p"))).alias("l")).first().l
+    ways = F.transform(F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("k")), lambda n: F.left("k", n))
+    hits = keys.select("k", F.explode(ways).alias("p")).join(known, "p")
+    best = hits.groupBy("k").agg(F.max_by("v", F.length("p")).alias(value)).withColumnRenamed("k", k)
+    return df.drop(value).join(best, F.col(key) == F.col(k), "left").drop(k)
 
 
 def trie_lookup(df: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
     """``df`` with the columns of the row of ``table`` that has exactly its key, or null: an equality join."""
     return df.join(table, F.col(key) == F.col(table_key), "left")
-
-
-def longest_prefix(df: DataFrame, key: str, table: DataFrame, prefix: str, value: str) -> DataFrame:
-    """``df`` with ``value`` of the longest ``prefix`` in the table that its key begins with, or null.
-
-    Each key is joined by its own prefixes, as many as it has characters. Rows are told apart by their key.
-    """
-    keys = df.select(F.col(key).alias("k_")).distinct()
-    ways = keys.select("k_", F.explode(F.transform(F.sequence(F.lit(0), F.length("k_")), lambda n: F.left("k_", n))).alias("p_"))
-    hits = ways.join(table.select(F.col(prefix).alias("p_"), F.col(value).alias("v_")), "p_")
-    best = hits.groupBy("k_").agg(F.max_by("v_", F.length("p_")).alias(value))
-    return df.join(best, F.col(key) == F.col("k_"), "left").drop("k_")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.operators.sequence import indexed
+from loomstone.operators.sequence import fresh, indexed
 
 Names = Sequence[str]
 
@@ -15,21 +15,35 @@ Names = Sequence[str]
 # Merging by key
 
 
+def _same_key(key: Names, left: str, right: str) -> Column:
+    """Keys agree, nulls among them equal."""
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return same
+
+
 def collate(left: DataFrame, right: DataFrame, key: Names, value: str, merge: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key.., value) of either table; where both have a key, ``merge`` of its values."""
-    a, b = left.select(*key, F.col(value).alias("l_"), F.lit(True).alias("a_")), right.select(*key, F.col(value).alias("r_"), F.lit(True).alias("b_"))
-    merged = F.when(F.col("a_").isNull(), F.col("r_")).when(F.col("b_").isNull(), F.col("l_")).otherwise(merge(F.col("l_"), F.col("r_")))
-    return a.join(b, list(key), "full").select(*key, merged.alias(value))
+    """(key.., value) of either table; where both have a key, ``merge`` of its values. Null keys are keys like others."""
+    side = lambda df: df.select(F.struct(*key).alias("k"), F.struct(F.col(value).alias("v")).alias("s"))
+    both = side(left).alias("l").join(side(right).alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), "full")
+    a, b = F.col("l.s"), F.col("r.s")
+    merged = F.when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(merge(a["v"], b["v"]))
+    return both.select(F.coalesce("l.k", "r.k").alias("k"), merged.alias("v")).select(*[F.col("k")[c].alias(c) for c in key], F.col("v").alias(value))
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: Names) -> DataFrame:
-    """``table`` with the rows of ``changes`` in the place of those with their key, and besides them."""
-    return table.join(changes, list(key), "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))
+    """``table`` with the rows of ``changes`` in the place of those with their key, null keys included, and besides them."""
+    kept = table.alias("t").join(changes.select(*key).alias("c"), _same_key(key, "t", "c"), "left_anti")
+    return kept.select(*table.columns).unionByName(changes.select(*table.columns))
 
 
 def establish(table: DataFrame, wanted: DataFrame, key: Names, value: str, compute: Column) -> DataFrame:
-    """``wanted`` with the value that ``table`` has for its key, or else ``compute``."""
-    return wanted.join(table.select(*key, value), list(key), "left").withColumn(value, F.coalesce(value, compute))
+    """``wanted`` with the value that ``table`` has for its key, null keys included, or else ``compute`` of the row."""
+    v, = fresh(wanted, "established_")
+    computed = wanted.drop(value).withColumn(v, compute).alias("w")
+    joined = computed.join(table.select(*key, value).alias("t"), _same_key(key, "w", "t"), "left")
+    return joined.select(*[F.col(f"w.{c}") for c in wanted.columns if c != value], F.coalesce(F.col(f"t.{value}"), F.col(f"w.{v}")).alias(value))
 
 
 # Sets of rows
@@ -58,14 +72,15 @@ def range_join(left: DataFrame, right: DataFrame, left_start: str, left_finish:
     intervals keeps both the notes and the bins small. Column names must differ.
     """
     bins = lambda s, e: F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))
-    a = left.filter(F.col(left_start) < F.col(left_finish)).withColumn("bin_", F.explode(bins(left_start, left_finish)))
-    b = right.filter(F.col(right_start) < F.col(right_finish)).withColumn("bin_", F.explode(bins(right_start, right_finish)))
+    bin_, = fresh([*left.columns, *right.columns], "bin_")
+    a = left.filter(F.col(left_start) < F.col(left_finish)).withColumn(bin_, F.explode(bins(left_start, left_finish)))
+    b = right.filter(F.col(right_start) < F.col(right_finish)).withColumn(bin_, F.explode(bins(right_start, right_finish)))
     start, finish = F.greatest(left_start, right_start), F.least(left_finish, right_finish)
     return (
-        a.join(b, "bin_")
-        .filter((start < finish) & (F.floor(start / width) == F.col("bin_")))
+        a.join(b, bin_)
+        .filter((start < finish) & (F.floor(start / width) == F.col(bin_)))
         .withColumns({"overlap_start": start, "overlap_finish": finish})
-        .drop("bin_")
+        .drop(bin_)
     )
 
 
@@ -77,7 +92,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     is taken. Column names other than ``by`` must differ.
     """
     others = [c for c in right.columns if c not in by]
-    mark, time, carried = "right_", "time_", "carried_"
+    mark, time, carried = fresh([*left.columns, *right.columns], "right_", "time_", "carried_")
     row = F.struct(*others)
     a = left.withColumns({time: F.col(left_time), mark: F.lit(0), carried: F.lit(None).cast(right.select(row.alias("r")).schema[0].dataType)})
     b = right.select(*by, F.col(right_time).alias(time), F.lit(1).alias(mark), row.alias(carried))
@@ -104,10 +119,18 @@ def merge_intervals(df: DataFrame, start: str, finish: str, by: Names) -> DataFr
 
 
 def skewed_join(big: DataFrame, small: DataFrame, on: Names, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equality join in which each key of ``big`` is dealt over ``salts`` tasks and ``small`` is repeated as often."""
-    salted = big.withColumn("salt_", F.floor(F.rand(7) * salts).cast("int"))
-    repeated = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "salt_"], how).drop("salt_")
+    """An equality join in which each key of ``big`` is dealt over ``salts`` tasks and ``small`` is repeated as often.
+
+    ``how``: inner, left, left_semi or left_anti; a join that keeps rows of the repeated side would keep them as often. The
+    salt is a hash of the row, so that a task that runs again deals its rows as before.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"{how} keeps rows of the repeated side")
+    salt, = fresh([*big.columns, *small.columns], "salt_")
+    hashed = [f.name for f in big.schema if f.dataType.typeName() not in ("map", "variant")]
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
+    repeated = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, salt], how).drop(salt)
 
 
 # Relation tables: interned values and pairs of references

@@ -2,7 +2,8 @@
 
 DataFrames have no order, so each operator takes one: ``order``, a list of columns that together decide it. With
 ``by`` the rows of each group are a sequence of their own, and a window over the group does the work. Without it, the
-whole table is one sequence; operators then number the rows over ranges of the order, so that no task holds them all.
+whole table is one sequence; ``indexed`` and what is made from it then number the rows over ranges of the order, so that no
+task holds them all, and the others refuse.
 """
 
 from __future__ import annotations
@@ -18,13 +19,24 @@ Names = Sequence[str]
 
 
 def _window(order: Names, by: Names) -> WindowSpec:
+    if not by:
+        raise ValueError("a window over a whole table is one task: name the columns of a group, or use indexed, batched or trace_sum")
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def fresh(df: DataFrame | Names, *stems: str) -> list[str]:
+    """A name for each stem that no column has, upper and lower case alike."""
+    taken, out = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem = f"_{stem}"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def _fresh(df: DataFrame, stem: str) -> str:
-    while stem.lower() in {c.lower() for c in df.columns}:
-        stem = f"_{stem}"
-    return stem
+    return fresh(df, stem)[0]
 
 
 def indexed(df: DataFrame, order: Names, by: Names = (), out: str = "index") -> DataFrame:
@@ -132,7 +144,7 @@ def slide(df: DataFrame, n: int, value: Column, order: Names, by: Names, out: st
 
 def _still(p: Column, order: Names, by: Names, first: bool = True) -> Column:
     ok = F.when(F.coalesce(p, F.lit(False)), 1).otherwise(0)
-    w = _window(order, by) if first else Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    w = _window(order if first else [F.desc(c) for c in order], by)
     return F.min(ok).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 1
 
 

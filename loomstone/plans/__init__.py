@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.plans import dates, extras, graphs, grouping, nesting, numbers, relations, sequences, streams, texts
+from loomstone.plans import columns, dates, extras, graphs, grouping, nesting, numbers, relations, sequences, streams, tables, texts
 
-MODULES = (grouping, sequences, relations, texts, dates, numbers, nesting, graphs, streams, extras)
+MODULES = (grouping, sequences, relations, texts, dates, numbers, nesting, graphs, streams, extras, columns, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

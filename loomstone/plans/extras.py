@@ -26,7 +26,7 @@ _TERMS = ["tion", "the", "onthe", "he", "idiot"]
 )
 def multi_search(spark, sf_dir):
     """All places of several terms, overlaps included."""
-    found = lexicon.multi_search(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _TERMS)
+    found = lexicon.multi_search(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", _TERMS)
     hits = found.select("doc_id", F.explode("found").alias("h"))
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("h.start").cast("long")).alias("starts"), F.countDistinct("h.term").alias("terms"))
 
@@ -73,8 +73,17 @@ def xml_struct(spark, sf_dir):
     return back.select("r_regionkey", F.col("x.name").alias("name"), F.col("x._key").alias("key"))
 
 
-@_R.add("q_random", "SELECT c_custkey, true AS inside, true AS positive FROM customer")
+@_R.add("q_random", "SELECT count(*) AS n, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS deviation, 0.5::DOUBLE AS half, 2.0::DOUBLE AS gamma, 0::BIGINT AS outside FROM lineitem")
 def random(spark, sf_dir):
-    """Random columns stay within their bounds."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", Z.uniform(1, 2, 3).alias("u"), Z.gamma(F.col("c_custkey"), 2.0).alias("g"))
-    return rows.select("c_custkey", ((F.col("u") >= 2) & (F.col("u") < 3)).alias("inside"), (F.col("g") > 0).alias("positive"))
+    """Random columns have the moments that their distributions state, to a tenth, and stay within their bounds."""
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(Z.uniform(1, 2, 3).alias("u"), Z.gaussian(5).alias("z"), Z.gamma(key, 2.0).alias("g"))
+    tenth = lambda x: F.round(F.round(x * 5) / 5 + 0.0, 1)
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.abs(tenth(F.avg("z"))).alias("mean"),
+        tenth(F.stddev("z")).alias("deviation"),
+        F.round(F.avg("u") - 2, 1).alias("half"),
+        tenth(F.avg("g")).alias("gamma"),
+        F.count_if((F.col("u") < 2) | (F.col("u") >= 3) | (F.col("g") <= 0)).alias("outside"),
+    )

@@ -69,7 +69,7 @@ def stream_totals(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = E.replay(spark, f"{sf_dir}/events.parquet*", schema)
     totals = stream.groupBy("event_type").agg(*_aggregates())
-    return E.run_to_end(totals, spark, "stream_totals", shared_path(spark, "stream-totals"), "complete")
+    return E.run_to_end(totals, spark, shared_path(spark, "stream-totals"), "complete")
 
 
 @_R.add("q_stream_merge", "SELECT event_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id FROM events WHERE value > 50")
@@ -78,7 +78,7 @@ def stream_merge(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     make = lambda: E.replay(spark, f"{sf_dir}/events.parquet*", schema)
     both = E.merge(make().filter("event_type = 'click'").select("event_id"), make().filter("value > 50").select("event_id"))
-    return E.run_to_end(both, spark, "stream_merge", shared_path(spark, "stream-merge"))
+    return E.run_to_end(both, spark, shared_path(spark, "stream-merge"))
 
 
 @_R.add("q_stream_gather", "SELECT user_id, max(value) AS state FROM events GROUP BY 1")
@@ -86,5 +86,5 @@ def stream_gather(spark, sf_dir):
     """A fold with state over each user's values; a stream of one batch ends with one state per user."""
     stream = E.replay(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
     folded = E.gather(stream.select("user_id", "value"), "user_id", "value", max, float("-inf"))
-    found = E.run_to_end(folded, spark, "stream_gather", shared_path(spark, "stream-gather"), "update")
+    found = E.run_to_end(folded, spark, shared_path(spark, "stream-gather"), "update")
     return found.groupBy("user_id").agg(F.max("state").alias("state"))

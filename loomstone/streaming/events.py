@@ -79,8 +79,23 @@ def gather(df: DataFrame, by: str, value: str, step: Callable[[float, float], fl
     return df.groupBy(by).applyInPandasWithState(fold, f"{by} {kind}, state double", "s double", "update", "NoTimeout")
 
 
-def run_to_end(stream: DataFrame, spark: SparkSession, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What a finite stream comes to, as a table in memory: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_to_end(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
+    """What a finite stream comes to, as a table below ``path``, a folder that all share; no row passes the driver.
+
+    With ``append`` the engine's file sink writes each batch once. With ``update`` and ``complete`` each batch is a folder of
+    its own, written anew if the batch runs again; an update gives all of them, ``complete`` the last.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{path}/rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    last = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{number}")
+        last.append(number)
+
+    writer.foreachBatch(each).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batches/{last[-1]}" if mode == "complete" else f"{path}/batches/*")
