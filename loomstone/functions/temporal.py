@@ -536,3 +536,18 @@ def from_tai(t: Column) -> Column:
     # Seconds of TAI from which each offset holds.
     later = F.filter(F.array(*[F.lit(x).cast("timestamp") for x in LEAP_DAYS]), lambda x: to_tai(x) <= t)
     return F.timestamp_seconds(F.unix_seconds(t) - 10 - F.size(later))
+
+
+def smear_tai(t: Column) -> Column:
+    """An instant on the TAI timeline on which a leap second is spread evenly over the day around it, from noon to noon."""
+    micros, day = F.unix_micros(t.cast("timestamp")), 86_400_000_000
+    leaps = F.array(*[F.unix_micros(F.lit(x).cast("timestamp")) for x in LEAP_DAYS])
+    share = lambda x: F.least(F.greatest(micros - x + F.lit(day // 2), F.lit(0)), F.lit(day))
+    total = F.aggregate(leaps, F.lit(0).cast("bigint"), lambda s, x: s + share(x))
+    return F.timestamp_micros(micros + 10_000_000 + F.floor(total / 86_400))
+
+
+def time_of_day(t: Column) -> Column:
+    """struct(hour, minute, second, nanos) of an instant in the session's zone."""
+    nanos = F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(1_000_000)) * 1000
+    return F.struct(F.hour(t).alias("hour"), F.minute(t).alias("minute"), F.second(t).alias("second"), nanos.cast("int").alias("nanos"))

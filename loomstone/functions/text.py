@@ -379,3 +379,19 @@ def punycode(s: pd.Series) -> pd.Series:
             return None
 
     return s.map(ascii_form, na_action="ignore")
+
+
+def justify(s: Column, width: int) -> Column:
+    """The words of a text with gaps that fill ``width``; gaps differ by one space at most, and the wider ones come first. A
+    text of one word, or one that is too long, has single spaces."""
+    found = F.array_remove(F.split(s, " +"), "")
+
+    def spread(w: Column) -> Column:
+        gaps = F.size(w) - 1
+        extra = F.greatest(F.lit(width) - F.length(F.array_join(w, " ")), F.lit(0))
+        gap = lambda i: F.lit(1) + F.floor(extra / gaps).cast("int") + F.when(i <= extra % gaps, 1).otherwise(0)
+        return F.when(gaps < 1, F.array_join(w, " ")).otherwise(
+            F.array_join(F.transform(w, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.repeat(F.lit(" "), gap(i)), x))), "")
+        )
+
+    return F.get(F.transform(F.array(found), spread), F.lit(0))

@@ -1,11 +1,14 @@
-"""Bloom filters as tables of bitmaps, prefix lookup of digests, and approximate aggregates."""
+"""Bloom filters as tables of bitmaps, prefix lookup of digests, approximate aggregates, and nearest vectors."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +91,64 @@ def _deletions(s: Column, radius: int) -> Column:
         )
         forms = F.array_distinct(F.concat(forms, shorter))
     return forms
+
+
+#: Query vectors that go to the tasks at a time.
+BLOCK = 2_048
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
+    """(query, key, cosine, rank): the ``k`` rows of ``vectors`` most alike to each row of ``queries``, other than itself, by
+    rounded cosine and then by key, a whole number. Both tables have a key and a vector of one length.
+
+    The queries go to all rows a block of bounded size at a time. A task keeps k rows a query, and these alone are shuffled.
+    Null vectors and those of nought are alike to none.
+    """
+    rows, parts, held = vectors.select(key, F.col(vector).cast("array<double>").alias(vector)), [], []
+    for row in queries.select(key, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()).toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK:
+            parts.append(_nearest_block(rows, held, key, k, digits))
+            held = []
+    if held or not parts:
+        parts.append(_nearest_block(rows, held, key, k, digits))
+    found = parts[0]
+    for other in parts[1:]:
+        found = found.unionByName(other)
+    order = Window.partitionBy("query").orderBy(F.desc("cosine"), F.asc(key))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _nearest_block(rows: DataFrame, block: list, key: str, k: int, digits: int) -> DataFrame:
+    names = np.array([r[0] for r in block], np.int64)
+    asked = np.array([r[1] for r in block], float).reshape(len(block), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        asked = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    shared = rows.sparkSession.sparkContext.broadcast((names, asked))
+
+    def best(keys: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first k of each column by score and key."""
+        order = np.argsort(keys, axis=0, kind="stable")
+        keys, scores = np.take_along_axis(keys, order, 0), np.take_along_axis(scores, order, 0)
+        order = np.argsort(-scores, axis=0, kind="stable")[:k]
+        return np.take_along_axis(keys, order, 0), np.take_along_axis(scores, order, 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = shared.value
+        keys, scores = np.zeros((0, len(names)), np.int64), np.zeros((0, len(names)))
+        for batch in batches:
+            whole = batch.filter(batch.column(1).is_valid()) if len(names) else batch.slice(0, 0)
+            for at in range(0, whole.num_rows, 1_024):
+                part = whole.slice(at, 1_024)
+                own = np.asarray(part.column(0), np.int64)[:, None]
+                v = np.asarray(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ asked.T, digits)
+                score[np.isnan(score) | (own == names[None, :])] = -np.inf
+                new = best(np.broadcast_to(own, score.shape), score)
+                keys, scores = best(np.concatenate((keys, new[0])), np.concatenate((scores, new[1])))
+        good = scores > -np.inf
+        query = np.broadcast_to(names[None, :], scores.shape)[good]
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(keys[good]), pa.array(scores[good])], names=["query", key, "cosine"])
+
+    return rows.withColumn(key, F.col(key).cast("bigint")).mapInArrow(work, f"query long, {key} long, cosine double")

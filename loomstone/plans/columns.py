@@ -407,3 +407,34 @@ def record_shapes(spark, sf_dir):
         J.or_(F.nullif(k % 2, F.lit(0)), 7).cast("bigint").alias("or_seven"),
         J.lay(maybe, F.lit("none"), lambda c: F.concat(F.lit("x"), c.cast("string"))).alias("laid"),
     )
+
+
+@_R.add(
+    "q_justify",
+    """
+    WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS w, greatest(60 - length(p_name), 0) AS x FROM part)
+    SELECT p_partkey, CASE WHEN len(w) = 1 THEN w[1] ELSE array_to_string(list_transform(w, lambda v, i:
+           CASE WHEN i = 1 THEN v ELSE repeat(' ', (1 + x // (len(w) - 1) + CASE WHEN i - 1 <= x % (len(w) - 1) THEN 1 ELSE 0 END)::INT) || v END), '') END AS line FROM t
+    """,
+)
+def justify(spark, sf_dir):
+    """Names as lines of sixty characters."""
+    return table(spark, sf_dir, "part").select("p_partkey", X.justify(F.col("p_name"), 60).alias("line"))
+
+
+@_R.add(
+    "q_clock",
+    """
+    WITH k AS (SELECT c_custkey AS k FROM customer)
+    SELECT k AS c_custkey, k % 24 AS hour, k % 60 AS minute, k * 7 % 60 AS second, k % 1000 * 1000000 AS nanos,
+           CASE WHEN k % 48 < 12 THEN 33::DOUBLE WHEN k % 48 >= 36 THEN 34::DOUBLE ELSE round(33 + (k % 48 - 12) / 24.0, 4)::DOUBLE END AS smeared FROM k
+    """,
+)
+def clock(spark, sf_dir):
+    """Times of day, and how far TAI is ahead around a leap second that is spread over a day."""
+    k = F.col("c_custkey")
+    millis = ((k % 24) * 3600 + (k % 60) * 60 + (k * 7) % 60) * 1000 + k % 1000
+    clock = D.time_of_day(F.timestamp_millis(millis))
+    instant = F.timestamp_micros((F.unix_seconds(F.lit("2008-12-31").cast("timestamp")) + (k % 48) * 3600) * 1_000_000)
+    ahead = (F.unix_micros(D.smear_tai(instant)) - F.unix_micros(instant)) / 1e6
+    return table(spark, sf_dir, "customer").select("c_custkey", *[clock[n].alias(n) for n in ("hour", "minute", "second", "nanos")], F.round(ahead, 4).alias("smeared"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import numeric as N
+from loomstone.operators import sketch
 from loomstone.plans.registry import Registry, table
 
 _R = Registry()
@@ -78,13 +79,8 @@ def norm(spark, sf_dir):
 )
 def cosine_topk(spark, sf_dir):
     """The five vectors nearest to each whose id is divisible by 50: a stated query set against all rows."""
-    from loomstone.operators.sequence import top_k_by
-
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"))
-    pairs = v.join(asked, F.col("vec_id") != F.col("query"))
-    scored = pairs.select("query", "vec_id", F.round(N.cosine(F.col("a"), F.col("embedding")), 6).alias("cosine"))
-    return top_k_by(scored, 5, ["query"], [F.desc("cosine"), F.asc("vec_id")]).drop("rank")
+    return sketch.nearest(v, v.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5).drop("rank")
 
 
 @_R.add(

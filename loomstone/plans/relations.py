@@ -19,10 +19,9 @@ def _customers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
 
 
-@_R.add("q_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000")
+@_R.add("q_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def inner(spark, sf_dir):
-    big = _orders(spark, sf_dir).filter("o_totalprice > 400000")
-    return big.join(_customers(spark, sf_dir), "o_custkey").select("o_orderkey", "c_name")
+    return _orders(spark, sf_dir).join(_customers(spark, sf_dir), "o_custkey").select("o_orderkey", "c_name")
 
 
 @_R.add("q_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -31,28 +30,29 @@ def left(spark, sf_dir):
     return joined.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"))
 
 
-@_R.add("q_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+@_R.add("q_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey * 2 FROM orders)")
 def semi(spark, sf_dir):
-    big = _orders(spark, sf_dir).filter("o_totalprice > 450000")
-    return _customers(spark, sf_dir).join(big, "o_custkey", "left_semi").select(F.col("o_custkey").alias("c_custkey"))
+    doubled = _orders(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey") * 2)
+    return _customers(spark, sf_dir).join(doubled, "o_custkey", "left_semi").select(F.col("o_custkey").alias("c_custkey"))
 
 
-@_R.add("q_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_R.add("q_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)")
 def anti(spark, sf_dir):
-    return _customers(spark, sf_dir).join(_orders(spark, sf_dir), "o_custkey", "left_anti").select(F.col("o_custkey").alias("c_custkey"))
+    doubled = _orders(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey") * 2)
+    return _customers(spark, sf_dir).join(doubled, "o_custkey", "left_anti").select(F.col("o_custkey").alias("c_custkey"))
 
 
 @_R.add(
     "q_full",
     """
-    WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1),
-         b AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+    WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1),
+         b AS (SELECT s_nationkey + 5 AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
     SELECT k, customers, suppliers FROM a FULL JOIN b USING (k)
     """,
 )
 def full(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
-    b = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    b = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") + 5).alias("k")).agg(F.count("*").alias("suppliers"))
     return a.join(b, "k", "full")
 
 
@@ -152,12 +152,12 @@ def interval_merge(spark, sf_dir):
     return merged.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("finish").alias("finish_us"))
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9900", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"
+_A, _B = "SELECT c_nationkey * 2 AS k FROM customer", "SELECT s_nationkey * 3 AS k FROM supplier"
 
 
 def _near(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
-    return a, table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    a = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 2).alias("k"))
+    return a, table(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 3).alias("k"))
 
 
 @_R.add("q_union", f"{_A} UNION {_B}")
@@ -184,14 +184,14 @@ def bag_union(spark, sf_dir):
 @_R.add(
     "q_collate",
     """
-    WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY 1),
-         b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
+    WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1),
+         b AS (SELECT s_nationkey + 5 AS k, count(*) AS n FROM supplier GROUP BY 1)
     SELECT k, CASE WHEN a.n IS NULL THEN b.n WHEN b.n IS NULL THEN a.n ELSE a.n * 100 + b.n END AS n FROM a FULL JOIN b USING (k)
     """,
 )
 def collate(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    b = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") + 5).alias("k")).agg(F.count("*").alias("n"))
     return R.collate(a, b, ["k"], "n", lambda x, y: x * 100 + y)
 
 

@@ -158,14 +158,16 @@ def jaro_winkler(spark, sf_dir):
     "q_fuzzy_search",
     """
     WITH t AS (SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part)),
-         q AS (SELECT DISTINCT reverse(w) AS query FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) UNION SELECT 'blu' UNION SELECT 'greenn')
+         q AS (SELECT DISTINCT reverse(w) AS query FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) UNION SELECT DISTINCT substr(w, 2) || w[1] FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part)
+              UNION SELECT DISTINCT substr(w, 2) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part))
     SELECT query, term, levenshtein(query, term)::INT AS distance FROM q, t WHERE levenshtein(query, term) <= 1
     """,
 )
 def fuzzy_search(spark, sf_dir):
     """All terms within one edit of a query, by deletion neighbourhoods."""
     w = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
-    queries = w.select(F.reverse("w").alias("query")).unionByName(spark.sql("SELECT explode(array('blu', 'greenn')) AS query"))
+    turned = F.concat(F.expr("substr(w, 2)"), F.left("w", F.lit(1)))
+    queries = w.select(F.explode(F.array(F.reverse("w"), turned, F.expr("substr(w, 2)"))).alias("query"))
     return sketch.fuzzy_search(w.withColumnRenamed("w", "term"), queries, "term", "query", 1)
 
 

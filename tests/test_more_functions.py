@@ -109,6 +109,10 @@ def test_substitutions_and_unified_texts(spark):
 def test_numbers(spark):
     v = lambda *x: F.array(*map(F.lit, x))
     held = spark.range(1).select(F.array(v(2.0, 1.0), v(1.0, 3.0)).alias("m"))
+    odd = spark.range(1).select(F.array(v(2.0, 1.0), v(0.0, 3.0)).alias("m"), F.array(v(1.0, 2.0), v(2.0, 4.0)).alias("s"), F.array(v(0.0, -1.0), v(1.0, 0.0)).alias("r"))
+    found = odd.select(N.eigenvectors("m").alias("e"), N.adjugate("s").alias("a"), N.eigenvectors("r").alias("n")).first()
+    assert found.e == [[1, 0], [pytest.approx(0.5**0.5)] * 2] and found.n is None
+    assert [[round(x, 9) for x in r] for r in found.a] == [[4, -2], [-2, 1]]
     row = held.select(N.adjugate("m").alias("a"), N.eigenvectors("m").alias("e")).first()
     assert [[round(x, 9) for x in r] for r in row.a] == [[3, -1], [-1, 2]] and abs(sum(x * x for x in row.e[0]) - 1) < 1e-9
     z = F.struct(F.lit(0.0).alias("re"), F.lit(2.0).alias("im"))
@@ -127,10 +131,12 @@ def test_random_columns_repeat_with_their_seed(spark):
 
 def test_terms_and_prefixes(spark):
     df = spark.createDataFrame([(1, "éushers"), (2, None), (3, "")], "i int, t string")
-    got = {r.i: r.found and [tuple(h) for h in r.found] for r in lexicon.multi_search(df, "t", ["he", "she", "hers", ""]).collect()}
-    assert got == {1: [(2, 5, "she"), (3, 5, "he"), (3, 7, "hers")], 2: None, 3: []}
-    with pytest.raises(ValueError):
-        lexicon.multi_search(df, "t", ["x" * (65 << 20)])
+    got = {r.i: [tuple(h) for h in r.found] for r in lexicon.multi_search(df, "t", "i", ["he", "she", "hers", ""]).collect()}
+    assert got == {1: [(2, 5, "she"), (3, 5, "he"), (3, 7, "hers")], 2: [], 3: []}
+    assert [r.found for r in lexicon.multi_search(df, "t", "i", []).collect()] == [[], [], []]
+    long = spark.createDataFrame([(1, "é" + "ab" * 3000), (2, "x" * 5000)], "i int, t string")
+    hits = {r.i: [h.start for h in r.found] for r in lexicon.multi_search(long, "t", "i", ["baba"]).collect()}
+    assert hits == {1: [2 * k + 2 for k in range(2998)], 2: []}
     table = spark.createDataFrame([("e", 1), ("éu", 2), ("", 0)], "p string, v int")
     assert {r.i: r.v for r in lexicon.longest_prefix(df, "t", table, "p", "v").collect()} == {1: 2, 2: None, 3: 0}
     assert lexicon.trie_lookup(df, "t", table, "p").count() == 3

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -209,3 +210,53 @@ def test_scripts_as_columns(spark):
     assert hunks == [(0, False, [], []), (1, True, ["b"], []), (2, False, [], [])]
     versions = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 2, "b")], "doc int, v int, line string")
     assert rows(diff.version_of(diff.evolve(versions, "doc", "v", "line"), 2), "line") == [("a",), ("b",)]
+
+
+def test_names_that_clash_and_null_keys(spark):
+    left = spark.createDataFrame([(1, 5, 1.0, 2.0)], "g int, t int, right_ double, time_ double")
+    right = spark.createDataFrame([(1, 4, 9.0)], "g int, u int, carried_ double")
+    row = R.asof_join(left, right, "t", "u", ["g"]).first()
+    assert tuple(row) == (1, 5, 1.0, 2.0, 4, 9.0)
+    spans = lambda a, b, c: spark.createDataFrame([(0.0, 2.0, 7)], f"{a} double, {b} double, {c} int")
+    assert set(R.range_join(spans("a", "b", "bin_"), spans("c", "d", "e"), "a", "b", "c", "d", 1.0).columns) >= {"bin_", "e"}
+    nulls = spark.createDataFrame([(None, 1), (2, 2)], "a_ int, v int")
+    merged = R.collate(nulls, nulls, ["a_"], "v", lambda x, y: x + y)
+    assert sorted(map(tuple, merged.collect()), key=str) == [(2, 4), (None, 2)]
+    changed = R.upsert(nulls, spark.createDataFrame([(None, 9)], "a_ int, v int"), ["a_"])
+    assert sorted(map(tuple, changed.collect()), key=str) == [(2, 2), (None, 9)]
+    known = R.establish(nulls, spark.createDataFrame([(None,), (3,)], "a_ int"), ["a_"], "v", F.lit(0))
+    assert sorted(map(tuple, known.collect()), key=str) == [(3, 0), (None, 1)]
+
+
+def test_skewed_join_keeps_rows_once(spark):
+    big = spark.createDataFrame([(1, "x"), (1, "x"), (3, "y")], "k int, v string").repartition(3)
+    small = spark.createDataFrame([(1, 10), (2, 20)], "k int, w int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = sorted(map(tuple, R.skewed_join(big, small, ["k"], 4, how).collect()), key=str)
+        assert got == sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            R.skewed_join(big, small, ["k"], 4, how)
+
+
+def test_windows_over_a_whole_table_are_refused(spark):
+    df = spark.range(3)
+    with pytest.raises(ValueError):
+        S.trace(df, F.col("id"), ["id"], [])
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0, 0.0, 0.0, 0.0]), (63, [2.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, e array<double>").repartition(3)
+    unit = {i: np.array(e) / np.linalg.norm(e) for i, e in rows if e and any(e)}
+    want = {}
+    for q in (0, 5, 62):
+        ranked = sorted(((-round(float(unit[q] @ u), 6), i) for i, u in unit.items() if i != q))[:4]
+        want[q] = [(i, -c) for c, i in ranked]
+    for block in (1, 2, 2_048):
+        monkeypatch.setattr(sketch, "BLOCK", block)
+        found = sketch.nearest(v, v.filter("id IN (0, 5, 60, 62)"), "id", "e", 4).orderBy("query", "rank").collect()
+        got = {q: [(r.id, pytest.approx(r.cosine)) for r in found if r.query == q] for q in want}
+        assert got == want
+    assert sketch.nearest(v, v.limit(0), "id", "e", 4).count() == 0

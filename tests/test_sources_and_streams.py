@@ -122,14 +122,14 @@ def test_streams_end_with_what_tables_give(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     read = lambda: E.replay(spark, str(tmp_path / "in"), df.schema)
     n = [F.count("*").alias("n")]
-    found = E.run_to_end(E.tumbling(read(), "ts", "15 minutes", ["k"], n, "1 hour"), spark, "t_tumbling", str(tmp_path / "c1"), "complete")
+    found = E.run_to_end(E.tumbling(read(), "ts", "15 minutes", ["k"], n, "1 hour"), spark, str(tmp_path / "c1"), "complete")
     want = E.tumbling(df, "ts", "15 minutes", ["k"], n)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
-    folded = E.run_to_end(E.gather(read(), "k", "v", lambda s, x: s + x, 0.0), spark, "t_gather", str(tmp_path / "c2"), "update")
+    folded = E.run_to_end(E.gather(read(), "k", "v", lambda s, x: s + x, 0.0), spark, str(tmp_path / "c2"), "update")
     assert dict(map(tuple, folded.groupBy("k").agg(F.max("state")).collect())) == {"a": 5.0, "b": 2.0}
-    merged = E.run_to_end(E.merge(read().select("v"), read().select("v")), spark, "t_merge", str(tmp_path / "c3"))
+    merged = E.run_to_end(E.merge(read().select("v"), read().select("v")), spark, str(tmp_path / "c3"))
     assert merged.count() == 12
-    unique = E.run_to_end(E.distinct_events(E.merge(read(), read()), ["k", "ts"], "ts", "1 day"), spark, "t_distinct", str(tmp_path / "c4"))
+    unique = E.run_to_end(E.distinct_events(E.merge(read(), read()), ["k", "ts"], "ts", "1 day"), spark, str(tmp_path / "c4"))
     assert unique.count() == 6
 
 
