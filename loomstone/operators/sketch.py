@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
 
 def _nearest_block(rows: DataFrame, block: list, key: str, k: int, digits: int) -> DataFrame:
     names = np.array([r[0] for r in block], np.int64)
-    asked = np.array([r[1] for r in block], float).reshape(len(block), -1)
+    asked = np.array([r[1] for r in block], float) if block else np.zeros((0, 0))
     with np.errstate(invalid="ignore", divide="ignore"):
         asked = asked / np.linalg.norm(asked, axis=1, keepdims=True)
     shared = rows.sparkSession.sparkContext.broadcast((names, asked))
@@ -141,7 +141,7 @@ def _nearest_block(rows: DataFrame, block: list, key: str, k: int, digits: int)
             for at in range(0, whole.num_rows, 1_024):
                 part = whole.slice(at, 1_024)
                 own = np.asarray(part.column(0), np.int64)[:, None]
-                v = np.asarray(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                v = np.asarray(part.column(1).flatten(), float).reshape(part.num_rows, asked.shape[1])
                 with np.errstate(invalid="ignore", divide="ignore"):
                     score = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ asked.T, digits)
                 score[np.isnan(score) | (own == names[None, :])] = -np.inf
