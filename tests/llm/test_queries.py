@@ -102,5 +102,7 @@ def test_toxicity_is_right_on_most_held_out_rows(spark):
     rows = [r for r in Q.op4_toxicity(spark, data).collect() if r.held_out and r.doc_id in truth]
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert sum(r.predicted == truth[r.doc_id] for r in rows) / len(rows) > 0.95
+    toxic = [r for r in rows if truth[r.doc_id] == 1]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.8
     clean = [r for r in rows if truth[r.doc_id] == 0]
     assert sum(r.predicted for r in clean) / len(clean) < 0.03
