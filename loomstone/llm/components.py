@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from loomstone.session import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Links that one task reads; few links are read by few tasks, whatever the session's number of partitions.
+TASK_LINKS = 50_000
+
+
+def _cut(links: DataFrame, n: int) -> DataFrame:
+    """``links``, about ``n``, written to the shared folder and read in as many tasks as they need."""
+    return cut(links).coalesce(n // TASK_LINKS + 1)
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """One star round on undirected (src, dst), src > dst: each vertex passes the least of its neighbours on.
 
     The least are cut off before the join, so that both its sides are dealt anew and a vertex with very many
     neighbours can be split over tasks.
     """
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else edges
-    least = cut(both.groupBy("src").agg(F.min("dst").alias("m")))
+    least = _cut(both.groupBy("src").agg(F.min("dst").alias("m")), n)
     out = both.join(least, "src").select("src", "dst", F.least("src", "m").alias("m"))
     if large:
         return out.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
@@ -23,6 +32,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return own.unionByName(out.select("src", F.col("m").alias("dst"))).distinct()
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Equal for equal links."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component) for every row of ``vertices`` (id): the least id that ``links`` (src, dst) reach from it.
 
@@ -31,15 +45,11 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).filter("src != dst").distinct()
     edges = cut(edges)
-    if not edges.isEmpty():
-        state = None
-        while True:
-            edges = cut(_star(cut(_star(edges, True)), False))
-            # Stars: each source has one target, and no target is a source; the sums are a digest of the links.
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-            if tuple(now) == state:
-                break
-            state = tuple(now)
+    before, state = None, _digest(edges)
+    while state[0] and state != before:
+        n = state[0]
+        edges = _cut(_star(_cut(_star(edges.coalesce(n // TASK_LINKS + 1), True, n), n), False, n), n)
+        before, state = state, _digest(edges)
     return vertices.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
