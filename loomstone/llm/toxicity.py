@@ -149,20 +149,21 @@ def _regress(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, labels: np.
     return w, b
 
 
+TIE = ("o", "h", "n", "label")
+
+
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """(text, label) of exactly ``most`` rows (id, text, label), or all of fewer: those with the least hash of id, then of text.
+    """(o, h, n, text, label) of at least ``most`` rows (id, text, label), or all of fewer: those with the least hash ``o`` of
+    their id, found without the texts; more only where rows share the last id. ``_first`` then takes exactly ``most``."""
+    o = F.xxhash64(F.col("id"), F.lit("fit")).alias("o")
+    last = rows.select(o).orderBy("o").limit(most).agg(F.max("o").alias("o")).first().o
+    kept = rows.withColumn("o", o).filter(F.col("o") <= F.lit(last).cast("bigint"))
+    return kept.select("o", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"), "text", "label")
 
-    Rows that agree with the last one in all of this are alike, and only as many of them are taken as there is room for.
-    """
-    key = F.struct(F.xxhash64(F.col("id"), F.lit("fit")).alias("o"), F.xxhash64("text").alias("h"), "label", F.octet_length("text").alias("n"))
-    top = rows.select(key.alias("k")).orderBy("k").limit(most)
-    last = top.agg(F.max("k").alias("k")).first().k
-    if last is None:
-        return rows.select("text", "label").limit(0)
-    bound = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, top.schema["k"].dataType, strict=True)])
-    room = most - top.filter(F.col("k") < bound).count()
-    same = rows.filter(key == bound).select("text", "label").limit(room)
-    return rows.filter(key < bound).select("text", "label").unionByName(same)
+
+def _first(sample: DataFrame, most: int) -> DataFrame:
+    """``most`` rows of a sample: the least by the hashes of id and text; rows that agree in these are alike."""
+    return sample.orderBy(*TIE).limit(most).drop("o", "h", "n")
 
 
 def train(rows: DataFrame, fit_rows: int = FIT_ROWS, stands_out: float = STANDS_OUT, most_features: int = MOST_FEATURES) -> Model:
@@ -190,9 +191,10 @@ def train(rows: DataFrame, fit_rows: int = FIT_ROWS, stands_out: float = STANDS_
                 text, feature = presence(part.column("text"), wanted)
                 bounds = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[feature].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("label"), lists], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in TIE], lists], names=[*TIE, "features"])
 
-    table = _sample(rows, fit_rows).mapInArrow(work, "label int, features array<int>").toArrow()
+    found = _sample(rows, fit_rows).mapInArrow(work, "o long, h long, n int, label int, features array<int>")
+    table = _first(found, fit_rows).toArrow()
     labels = np.asarray(table["label"], np.float64)
     lists = table["features"].combine_chunks()
     sizes = np.asarray(pc.list_value_length(lists), np.int64)
